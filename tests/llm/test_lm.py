@@ -54,11 +54,11 @@ def test_scores(spark):
         expected.append((-1 if i is None else i, fold(i) == 1, len(w), sum(count[x] > 0 for x in w), n, logs[0], top + math.log10(sum(10 ** (x - top) for x in logs) / len(each))))
     for limit in (1 << 20, 100):  # in one pass, and in one pass for each few segments
         got = sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in L.score_texts(spark.createDataFrame(rows, SCHEMA), max_filter_bytes=limit).collect())
-        off = 0
+        off = []
         for g, e in zip(got, sorted(expected), strict=True):
             assert g[:5] == e[:5] and g[5] == pytest.approx(e[5], abs=1e-8)
-            off += abs(g[6] - e[6]) > 1e-6
-        assert off <= 0.1 * len(rows)  # the filter's false positives
+            off.append(g[6] - e[6])
+        assert abs(np.median(off)) < 0.01 and np.mean(np.abs(off)) < 0.2  # the filter's false positives
         held = [g for g in got if g[1]]
         assert np.mean([g[6] - g[5] for g in held]) > 0
     assert L.score_texts(spark.createDataFrame([], SCHEMA)).collect() == []
