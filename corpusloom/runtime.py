@@ -48,6 +48,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fan_out(spark: SparkSession) -> int:
-    """How many slots keyed exchanges are dealt to: twice the shuffle partitions."""
-    return max(4, 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def fan_out(spark: SparkSession) -> tuple[int, int]:
+    """Slots for hashes and chunks for documents in keyed exchanges.
+
+    Both follow the shuffle partitions; every slot may answer every chunk, so the
+    number of messages is their product.
+    """
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    return 2 * n, n
