@@ -99,10 +99,10 @@ class Docs:
         """16 bits of each text's hash, to tell rows with the same id apart."""
         return (rolling.runs(self.offsets[:-1], self.offsets[1:]) >> np.uint64(48)).astype(np.uint16)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, space: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all words, and for each document its first word's index."""
         n = len(self.data)
-        solid = ~_WS[self.data]
+        solid = ~space[self.data]
         before = np.zeros(n + 1, bool)
         before[1:] = solid
         before[self.offsets] = False

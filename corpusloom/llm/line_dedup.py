@@ -129,8 +129,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     ship_package(spark)
-    n = fan_out(spark)
+    n, chunks = fan_out(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    packed = texts.mapInArrow(K.pack_documents(n), K.PACKED)
-    drops = texts.mapInArrow(_lines(min_chars, n), K.PACKED).groupBy("slot").applyInArrow(_probe(n), K.PACKED)
+    packed = texts.mapInArrow(K.pack_documents(chunks), K.PACKED)
+    drops = texts.mapInArrow(_lines(min_chars, n), K.PACKED).groupBy("slot").applyInArrow(_probe(chunks), K.PACKED)
     return packed.groupBy("slot").cogroup(drops.groupBy("slot")).applyInArrow(_finish(min_chars), RESULT)

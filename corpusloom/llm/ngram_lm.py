@@ -105,7 +105,7 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(LEVEL_STARTS, counts, "right")
 
 
-def _merge(slots: int):
+def _merge():
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         chunks, words, seen, pairs, times = zip(*(K.unpack(x) for x in table.column("payload").to_pylist()), strict=True)
         distinct, place = np.unique(np.concatenate(words), return_inverse=True)
@@ -231,10 +231,10 @@ def score_texts(docs: DataFrame, fold: int = 1, of: int = 5, max_filter_bytes: i
     """
     spark = docs.sparkSession
     ship_package(spark)
-    n = fan_out(spark)
+    chunks, n = fan_out(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    packed = texts.mapInArrow(K.pack_documents(n), K.PACKED).groupBy("slot")
-    counted = packed.applyInArrow(_count(fold, of, n), K.PACKED).groupBy("slot").applyInArrow(_merge(n), TABLE)
+    packed = texts.mapInArrow(K.pack_documents(chunks), K.PACKED).groupBy("slot")
+    counted = packed.applyInArrow(_count(fold, of, n), K.PACKED).groupBy("slot").applyInArrow(_merge(), TABLE)
     counted = materialise(counted, "counts")
     shards = counted.filter("kind = 1").groupBy("slot").agg(F.sum("n_tokens"), F.sum("n_types"), F.sum("n_keys")).collect()
     n_train, n_types = sum(r[1] for r in shards), sum(r[2] for r in shards)

@@ -162,7 +162,7 @@ def simhash_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_
     """
     spark = docs.sparkSession
     ship_package(spark)
-    n = fan_out(spark)
+    n, _ = fan_out(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = materialise(texts.mapInArrow(_fingerprints(shingle), "doc_id long, bits long"), "prints")
     owners = materialise(prints.groupBy("bits").agg(F.min("doc_id").alias("owner")), "owners")

@@ -147,10 +147,10 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
         raise ValueError("window must be 2 words at least")
     spark, block = docs.sparkSession, window // 2
     ship_package(spark)
-    n = fan_out(spark)
+    n, chunks = fan_out(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    packed = texts.mapInArrow(K.pack_documents(n), K.PACKED)
-    hits = texts.mapInArrow(_probes(block, n), K.PACKED).groupBy("slot").applyInArrow(_hits(block, n), K.PACKED)
+    packed = texts.mapInArrow(K.pack_documents(chunks), K.PACKED)
+    hits = texts.mapInArrow(_probes(block, n), K.PACKED).groupBy("slot").applyInArrow(_hits(block, chunks), K.PACKED)
     windows = packed.groupBy("slot").cogroup(hits.groupBy("slot")).applyInArrow(_candidates(window, block, n), K.PACKED)
-    late = windows.groupBy("slot").applyInArrow(_late(n), K.PACKED)
+    late = windows.groupBy("slot").applyInArrow(_late(chunks), K.PACKED)
     return packed.groupBy("slot").cogroup(late.groupBy("slot")).applyInArrow(_finish(window), RESULT)

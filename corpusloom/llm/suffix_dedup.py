@@ -306,10 +306,10 @@ def dedup_suffixes(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
         raise ValueError(f"window must be from {GRAM + 1} to 128 bytes")
     spark = docs.sparkSession
     ship_package(spark)
-    n = fan_out(spark)
+    n, chunks = fan_out(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    packed = texts.mapInArrow(K.pack_documents(n), K.PACKED)
-    repeated = texts.mapInArrow(_anchors(window, n), K.PACKED).groupBy("slot").applyInArrow(_repeated(n), K.PACKED)
+    packed = texts.mapInArrow(K.pack_documents(chunks), K.PACKED)
+    repeated = texts.mapInArrow(_anchors(window, n), K.PACKED).groupBy("slot").applyInArrow(_repeated(chunks), K.PACKED)
     strings = packed.groupBy("slot").cogroup(repeated.groupBy("slot")).applyInArrow(_strings(window, n), K.PACKED)
-    removals = strings.groupBy("slot").applyInArrow(_removals(window, n), K.PACKED)
+    removals = strings.groupBy("slot").applyInArrow(_removals(window, chunks), K.PACKED)
     return packed.groupBy("slot").cogroup(removals.groupBy("slot")).applyInArrow(_finish, RESULT)
