@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.decontamination import contaminated
 from corpusloom.llm.line_dedup import dedup_lines
+from corpusloom.llm.mixing import mix_sources, word_count
 from corpusloom.llm.ngram_lm import score_texts
+from corpusloom.llm.quality import score_quality
 from corpusloom.llm.simhash import simhash_duplicates
 from corpusloom.llm.substring_dedup import dedup_substrings
 from corpusloom.llm.suffix_dedup import dedup_suffixes
+from corpusloom.llm.token_output import read_documents, write_tokens
+from corpusloom.llm.topk import top_inner_products
+
+#: Where the byte-level vocabulary stands; it is the same on all machines.
+TOKENIZER = os.environ.get("CORPUSLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,16 +31,32 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_documents(write_tokens(_table(spark, sf_dir, "documents"), TOKENIZER))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_substrings(_table(spark, sf_dir, "documents"), window=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_suffixes(_table(spark, sf_dir, "documents"), window=50)
     return kept.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(_table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
@@ -41,8 +66,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op3_substring_dedup, op6_suffix_array_dedup, op8_simhash, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_token_output, op3_substring_dedup, op4_quality_classifier, op5_exact_topk, op6_suffix_array_dedup, op7_decontamination, op8_simhash, op9_line_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
