@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Words, word pairs and byte 3- to 5-grams are hashed to ``BUCKETS`` learned vectors;
-a document is their mean, a softmax layer on it gives the label.  Training is plain
+Words, word pairs, whether a pair repeats its word, and byte 3- to 5-grams are hashed
+to ``BUCKETS`` learned vectors; a document is their mean, a softmax layer on it gives the label.  Training is plain
 stochastic gradient descent in numpy on a bounded sample of labelled documents (the
 ``max_train`` with the least id hashes, whole texts).  Since the mean and the layer are
 linear, a trained vector counts only by one number, and scoring is a table lookup for
@@ -43,6 +43,10 @@ def _features(docs: K.Docs) -> tuple[list[np.ndarray], list[np.ndarray]]:
             h = source.every(width)
             kinds.append(h)
             bounds.append(np.minimum(edges, len(h)))
+    again = np.zeros(max(len(words) - 1, 0), np.uint64)
+    again[words[1:] == words[:-1]] = np.uint64(1)
+    kinds.append(K.mix(again + np.uint64(1)))
+    bounds.append(np.minimum(first, len(again)))
     out = []
     for kind, h in enumerate(kinds):
         out.append(((h >> np.uint64(20 + kind)) % np.uint64(BUCKETS)).astype(np.int64))
