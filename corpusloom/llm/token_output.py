@@ -22,6 +22,7 @@ import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,7 @@ class Encoder:
         self.by_piece = plain and not spec.get("normalizer") and spec["model"].get("type") == "BPE" and not spec.get("truncation")
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = "H" if self.dtype is np.uint16 else "I"
         self.end = np.zeros(1, self.dtype).tobytes()
         self.pieces = regex.compile(WORDS).findall
         self.known: dict[str, bytes] = {}
@@ -85,13 +87,14 @@ class Encoder:
                 except UnicodeEncodeError:
                     pass
             out[k] = self.whole(text) + self.end
-        missing = list({p for pieces in cut.values() for p in pieces if p not in self.known})
+        pieces = set().union(*cut.values())
+        missing = list(pieces.difference(self.known))
         if missing:
             if len(self.known) + len(missing) > REMEMBERED:
                 self.known.clear()
-                missing = list({p for pieces in cut.values() for p in pieces})
+                missing = list(pieces)
             for piece, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(e.ids, self.dtype).tobytes()
+                self.known[piece] = array(self.code, e.ids).tobytes()
         ids = self.known.__getitem__
         for k, pieces in cut.items():
             out[k] = b"".join(map(ids, pieces)) + self.end
