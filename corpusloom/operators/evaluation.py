@@ -45,7 +45,7 @@ def threshold_sweep(scored: DataFrame) -> DataFrame:
     """A16 on (supported 0/1, score): a claim is flagged below the threshold."""
     grid = scored.sparkSession.range(1, 20).select((F.col("id") * 5).cast("int").alias("percent"))
     each = scored.crossJoin(F.broadcast(grid)).withColumn("flag", F.col("score") < F.col("percent") / 100)
-    sums = each.groupBy("percent").agg(F.count_if("flag and supported = 0").alias("tp"), F.count_if("flag and supported = 1").alias("fp"), F.count_if("not flag and supported = 0").alias("fn"), F.count_if("not flag and supported = 1").alias("tn"))
+    sums = each.groupBy("percent").agg(F.count_if(F.expr("flag and supported = 0")).alias("tp"), F.count_if(F.expr("flag and supported = 1")).alias("fp"), F.count_if(F.expr("not flag and supported = 0")).alias("fn"), F.count_if(F.expr("not flag and supported = 1")).alias("tn"))
     p, r = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
     kept = F.try_divide("tn", F.col("tn") + F.col("fp"))
     return sums.select("percent", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"), kept.alias("supported_kept"), ((r + kept) / 2).alias("balanced_accuracy"))

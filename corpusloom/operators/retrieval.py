@@ -99,7 +99,7 @@ def widen(narrow: DataFrame, wide: DataFrame, least: int, k: int = 10) -> DataFr
 def rerank(hits: DataFrame, scores: Column, k: int = 10) -> DataFrame:
     """Order by a new score; rank_change is positive for hits that move up."""
     moved = hits.withColumn("rerank_score", scores).withColumnRenamed("rank", "old_rank")
-    return top_k(moved, k, F.desc("rerank_score"), F.asc("old_rank")).withColumn("rank_change", F.col("old_rank") - F.col("rank"))
+    return top_k(moved, k, F.desc(F.round("rerank_score", 9)), F.asc("old_rank")).withColumn("rank_change", F.col("old_rank") - F.col("rank"))
 
 
 def score_distribution(reranked: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple = ()
+from corpusloom.plans import content, retrieval
+
+_MODULES = (retrieval, content)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
