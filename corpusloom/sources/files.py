@@ -20,7 +20,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Text and Markdown files: document_id, path, text, error (blank files)."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,md}").load(path)
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    text = F.coalesce(text, F.decode("content", F.lit("ISO-8859-1")))
+    text = F.coalesce(text, F.decode("content", "ISO-8859-1"))
     return raw.select(document_id(F.col("path")).alias("document_id"), "path", text.alias("text"), F.when(F.trim(text) == "", F.lit("no text")).alias("error"))
 
 
