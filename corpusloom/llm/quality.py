@@ -154,7 +154,7 @@ SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 def _score(broadcast):
     def run(batches):
-        for docs in K.documents(batches, 2 << 20):
+        for docs in K.documents(batches, 1 << 20):
             score = broadcast.value.scores(docs)
             ids = pa.array([None if i == K.NULL_ID else i for i in docs.ids.tolist()], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(score)], names=["doc_id", "score"])
@@ -177,7 +177,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
     def run(batches):
         for batch in batches:
-            parts = [model.value.scores(p) for p in K.pieces(K.from_arrow(batch.column(id_at).cast(pa.int64()), batch.column(text_at)), 2 << 20)]
+            parts = [model.value.scores(p) for p in K.pieces(K.from_arrow(batch.column(id_at).cast(pa.int64()), batch.column(text_at)), 1 << 20)]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0), *parts]) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
