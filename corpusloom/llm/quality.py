@@ -32,30 +32,36 @@ GRAMS = (3, 4, 5)
 THRESHOLD = 0.3
 
 
-def _features(docs: K.Docs) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each kind of feature: its buckets, and each document's first one (and the end)."""
+def _inside(edges: np.ndarray, width: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``n`` runs of ``width`` values, the first of each document and the one after its last."""
+    starts = np.minimum(edges[:-1], n)
+    return starts, np.maximum(np.minimum(edges[1:] - width + 1, n), starts)
+
+
+def _features(docs: K.Docs) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+    """For each kind of feature: its buckets, and where each document's own begin and end."""
     rolling = docs.rolling()
     starts, ends, first = docs.words()
     words = rolling.runs(starts, ends)
-    kinds, bounds = [words], [first]
+    kinds, bounds = [words], [_inside(first, 1, len(words))]
     for source, edges, widths in ((K.Rolling(words), first, (2,)), (rolling, docs.offsets, GRAMS)):
         for width in widths:
             h = source.every(width)
             kinds.append(h)
-            bounds.append(np.minimum(edges, len(h)))
+            bounds.append(_inside(edges, width, len(h)))
     again = np.zeros(max(len(words) - 1, 0), np.uint64)
     again[words[1:] == words[:-1]] = np.uint64(1)
     kinds.append(K.mix(again + np.uint64(1)))
-    bounds.append(np.minimum(first, len(again)))
+    bounds.append(_inside(first, 2, len(again)))
     out = []
     for kind, h in enumerate(kinds):
         out.append(((h >> np.uint64(20 + kind)) % np.uint64(BUCKETS)).astype(np.int64))
     return out, bounds
 
 
-def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    return total[ends] - total[starts]
 
 
 @dataclass
@@ -66,15 +72,11 @@ class Model:
     bias: float
 
     def scores(self, docs: K.Docs) -> np.ndarray:
-        """Each document's probability of label 1.
-
-        Features that begin in one document and end in the next are left to the first
-        of them; they are few and hashed alike in training.
-        """
+        """Each document's probability of label 1, whichever documents stand beside it."""
         total, count = np.zeros(len(docs)), np.zeros(len(docs))
-        for buckets, bounds in zip(*_features(docs), strict=True):
-            total += _sums(self.weights[buckets], bounds)
-            count += np.diff(bounds)
+        for buckets, (starts, ends) in zip(*_features(docs), strict=True):
+            total += _sums(self.weights[buckets], starts, ends)
+            count += ends - starts
         return 1 / (1 + np.exp(-np.clip(self.bias + total / np.maximum(count, 1), -500, 500)))
 
 

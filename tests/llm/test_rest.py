@@ -57,6 +57,19 @@ def test_quality(spark):
     assert np.mean([a for a, b in held if b == 1]) > 0.98
 
 
+def test_quality_neighbours():
+    """A text's score is the same alone and among others."""
+    from corpusloom.llm import kernels as K
+
+    r = np.random.default_rng(3)
+    bodies = [t.encode() for t in ["", "a", "ab cd", "x" * 7, "", "one two two three", " ", "é", *texts(20, 4)]]
+    at = np.cumsum([0, *map(len, bodies)])
+    docs = K.Docs(np.arange(len(bodies)), np.frombuffer(b"".join(bodies), np.uint8), at)
+    model = quality.Model(r.normal(0, 1, quality.BUCKETS).astype(np.float32), 0.2)
+    alone = np.concatenate([model.scores(one) for one in quality.single(docs)])
+    assert np.allclose(model.scores(docs), alone, atol=1e-9) and alone[0] == alone[4] == pytest.approx(1 / (1 + np.exp(-0.2)))
+
+
 def test_quality_edges(spark):
     rows = [(1, None, "", "", 0), (2, "", "", "", 0), (None, "abc", "", "", 0), (4, "z" * 100_000, "", "", 0)]
     docs = spark.createDataFrame(rows, DOCS)
