@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import content, retrieval
+from corpusloom.plans import answers, content, retrieval
 
-_MODULES = (retrieval, content)
+_MODULES = (retrieval, content, answers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,6 +10,10 @@ from corpusloom.operators import retrieval as R
 from corpusloom.operators.filters import apply_filters, delete_by_filter
 
 
+#: Shifts which hard negative is drawn.
+SEED = 20260827
+
+
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -179,8 +183,24 @@ def paired_bootstrap(spark, sf):
     return E.paired_bootstrap(a.join(b, "query_id").withColumn("comparison", F.lit("english -> all")), iterations=2000)
 
 
+def training_pairs(spark, sf):
+    """Each passage with each chunk that holds it, its hard negatives and the one that is drawn."""
+    gold = ground_evidence(spark, sf).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("positive"))
+    hard = hard_negatives(spark, sf).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).getField("chunk_id").alias("n"))
+    paired = gold.join(hard, "query_id", "left").withColumn("n", F.coalesce("n", F.array().cast("array<bigint>")))
+    drawn = F.get("n", ((F.col("query_id") + SEED) % F.greatest(F.size("n"), F.lit(1))).cast("int"))
+    return paired.select("query_id", "positive", F.array_join("n", ",").alias("negatives"), drawn.alias("negative"))
+
+
+def rerank_dev_samples(spark, sf):
+    """The BM25 top 20 of every passage that some chunk holds, and which of them are positive."""
+    gold = ground_evidence(spark, sf).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.lit(True).alias("positive"))
+    hits = _bm25(spark, sf, k=20).join(gold.select("query_id").distinct(), "query_id", "left_semi")
+    return hits.join(gold, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", "rank", F.coalesce("positive", F.lit(False)).alias("positive"))
+
+
 QUERIES = {
-    **{f.__name__: f for f in (bm25_corpus_stats, bm25_idf, bm25_top10, bm25_top10_filtered, vector_top10, vector_top10_filtered, vector_threshold, vector_euclidean, rrf_fusion, widened_search, rerank_change, rerank_distribution, filter_delete, ground_evidence, retrieval_metrics, eval_summary, ablation_arms, hard_negatives, roc_auc, threshold_sweep, paired_bootstrap)},
+    **{f.__name__: f for f in (bm25_corpus_stats, bm25_idf, bm25_top10, bm25_top10_filtered, vector_top10, vector_top10_filtered, vector_threshold, vector_euclidean, rrf_fusion, widened_search, rerank_change, rerank_distribution, filter_delete, ground_evidence, retrieval_metrics, eval_summary, ablation_arms, hard_negatives, training_pairs, rerank_dev_samples, roc_auc, threshold_sweep, paired_bootstrap)},
     "filter_scalar": _filtered({"lang": "fr"}),
     "filter_any": _filtered({"source": ["src1", "src2"], "lang": []}),
     "filter_range": _filtered({"n_chars": {"$gt": 200, "$lte": 900, "$near": 5}}),
@@ -261,6 +281,8 @@ SELECT query_id, chunk_id, round(score, 6) AS score, block, r AS rank FROM (SELE
     "eval_summary": f"WITH {_BM25}, {_cut('hits')}, {_EVIDENCE}, {_msql(_TRUTH)} SELECT count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in METRICS)} FROM m",
     "ablation_arms": " UNION ALL ".join(f"SELECT * FROM (WITH {_vsql(s, w)}, {_msql(_LABELS)} SELECT round(avg(rr), 6) AS mrr, round(avg(ndcg10), 6) AS ndcg10, '{arm}' AS arm FROM m)" for arm, s, w in (("cosine", _COS, "true"), ("euclidean", _EUCLID, "true"), ("label_filter", _COS, "label IN (0, 1, 2, 3, 4)"))),
     "hard_negatives": f"WITH {_BM25}, {_cut('hits', k=40)}, {_EVIDENCE}, rest AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM hits ANTI JOIN ({_TRUTH}) USING (query_id, chunk_id)) SELECT query_id, chunk_id, r AS rank FROM rest WHERE r BETWEEN 2 AND 4",
+    "training_pairs": f"WITH {_BM25}, {_cut('hits', k=40)}, {_EVIDENCE}, rest AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM hits ANTI JOIN ({_TRUTH}) USING (query_id, chunk_id)), g AS (SELECT query_id, list(chunk_id ORDER BY r) AS n FROM rest WHERE r BETWEEN 2 AND 4 GROUP BY query_id) SELECT query_id, t.chunk_id AS positive, coalesce(array_to_string(n, ','), '') AS negatives, n[(query_id + {SEED}) % greatest(coalesce(len(n), 0), 1) + 1] AS negative FROM ({_TRUTH}) t LEFT JOIN g USING (query_id)",
+    "rerank_dev_samples": f"WITH {_BM25}, {_cut('hits', k=20)}, {_EVIDENCE}, t AS ({_TRUTH}) SELECT query_id, chunk_id, rank, (query_id, chunk_id) IN (SELECT (query_id, chunk_id) FROM t) AS positive FROM hits SEMI JOIN t USING (query_id)",
     "roc_auc": "SELECT round(avg(CASE WHEN a.n_chars > b.n_chars THEN 1.0 WHEN a.n_chars = b.n_chars THEN 0.5 ELSE 0.0 END), 6) AS auc FROM (SELECT n_chars FROM labels JOIN documents USING (doc_id) WHERE quality = 1) a, (SELECT n_chars FROM labels JOIN documents USING (doc_id) WHERE quality = 0) b",
     "threshold_sweep": """WITH s AS (SELECT quality AS supported, least(1.0, n_chars / 4000.0) AS score FROM labels JOIN documents USING (doc_id)), g AS (SELECT (range * 5)::INTEGER AS percent FROM range(1, 20)),
 c AS (SELECT percent, count(*) FILTER (score < percent / 100.0 AND supported = 0) AS tp, count(*) FILTER (score < percent / 100.0 AND supported = 1) AS fp, count(*) FILTER (score >= percent / 100.0 AND supported = 0) AS fn, count(*) FILTER (score >= percent / 100.0 AND supported = 1) AS tn FROM s, g GROUP BY percent),
