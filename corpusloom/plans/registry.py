@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import answers, content, retrieval
+from corpusloom.plans import answers, content, papers, retrieval
 
-_MODULES = (retrieval, content, answers)
+_MODULES = (retrieval, content, answers, papers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
