@@ -57,6 +57,16 @@ def test_quality(spark):
     assert np.mean([a for a, b in held if b == 1]) > 0.98
 
 
+def test_latin1_pieces():
+    """The written-out pattern cuts Latin-1 texts as the vocabulary's own does."""
+    import regex
+
+    r, own, new = random.Random(1), regex.compile(token_output.WORDS).findall, token_output._latin1_pieces().findall
+    for _ in range(5000):
+        t = "".join(chr(r.randrange(256)) if r.random() < 0.5 else r.choice(" 'sta1\n.é") for _ in range(r.randint(0, 30)))
+        assert own(t) == new(t)
+
+
 def test_quality_neighbours():
     """A text's score is the same alone and among others."""
     from corpusloom.llm import kernels as K
