@@ -33,8 +33,10 @@ HEADINGS = {
     "introduction": r"\b(introduction|motivation|overview|background)\b",
 }
 #: Characters and what replaces them.
-CURLY, PLAIN = "“”‘’–— •", "\"\"''-- -"
-ELLIPSIS, NO_SPACE = "…", "​"
+CURLY, PLAIN = "“”‘’–—\u00a0•·", "\"\"''-- --"
+ELLIPSIS, NO_SPACE = "…", "\u200b"
+#: White space of every script and the separators 28 to 31.
+SPACE = r"[\s\x1c-\x1f]"
 
 
 def tokens(c: Column) -> Column:
@@ -51,8 +53,9 @@ def clean_whitespace(c: Column) -> Column:
     """Tabs to spaces; each line loses its end and runs of spaces, and keeps four leading spaces at most."""
 
     def line(x: Column) -> Column:
-        lead = F.least(F.lit(4), F.length(x) - F.length(F.ltrim(x)))
-        return F.rtrim(F.concat(F.repeat(F.lit(" "), lead), F.regexp_replace(F.trim(x), " +", " ")))
+        end = F.regexp_replace(x, rf"(?U){SPACE}+\z", "")
+        body = F.regexp_replace(end, rf"(?U)\A{SPACE}+", "")
+        return F.concat(F.repeat(F.lit(" "), F.least(F.lit(4), F.length(end) - F.length(body))), F.regexp_replace(body, " +", " "))
 
     return F.array_join(F.transform(F.split(F.translate(c, "\t", " "), "\n"), line), "\n")
 

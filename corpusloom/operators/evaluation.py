@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of scores that are ranked apart.
+BUCKETS = 200
+
 
 def ranking_metrics(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
     """M1-M5 for every query with a relevant chunk: hits (query_id, chunk_id, rank), relevant (query_id, chunk_id).
@@ -33,18 +36,22 @@ def ranking_metrics(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...] =
 def roc_auc(scored: DataFrame) -> DataFrame:
     """A15 on (label, score): share of pairs in order, ties a half; null when a class is missing.
 
-    By rank sums over distinct scores, so pairs are never formed.
+    By rank sums over distinct scores, so pairs are never formed; ranks are counted within
+    ranges of scores, to which the totals of the ranges below (at most BUCKETS) are added.
     """
     by_score = scored.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = by_score.select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("wins"))
+    bounds = scored.agg(F.percentile_approx("score", [k / BUCKETS for k in range(1, BUCKETS)])).first()[0] or []
+    ranges = by_score.withColumn("bucket", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("score"))))
+    before = lambda w: F.coalesce(F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = ranges.groupBy("bucket").agg(F.sum("neg").alias("neg")).select("bucket", before(Window.orderBy("bucket")).alias("base"))
+    below = F.col("base") + before(Window.partitionBy("bucket").orderBy("score"))
+    wins = ranges.join(F.broadcast(bases), "bucket").select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("wins"))
     return wins.agg((F.sum("wins") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
 def threshold_sweep(scored: DataFrame) -> DataFrame:
     """A16 on (supported 0/1, score): a claim is flagged below the threshold."""
-    grid = scored.sparkSession.range(1, 20).select((F.col("id") * 5).cast("int").alias("percent"))
-    each = scored.crossJoin(F.broadcast(grid)).withColumn("flag", F.col("score") < F.col("percent") / 100)
+    each = scored.withColumn("percent", F.explode(F.sequence(F.lit(5), F.lit(95), F.lit(5)))).withColumn("flag", F.col("score") < F.col("percent") / 100)
     sums = each.groupBy("percent").agg(F.count_if(F.expr("flag and supported = 0")).alias("tp"), F.count_if(F.expr("flag and supported = 1")).alias("fp"), F.count_if(F.expr("not flag and supported = 0")).alias("fn"), F.count_if(F.expr("not flag and supported = 1")).alias("tn"))
     p, r = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
     kept = F.try_divide("tn", F.col("tn") + F.col("fp"))

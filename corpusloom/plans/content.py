@@ -179,7 +179,7 @@ _AUTHOR = "CASE item_id % 4 WHEN 0 THEN 'Unknown' WHEN 1 THEN '{}' WHEN 2 THEN '
 
 ORACLES = {
     "tokenize_terms": r"SELECT doc_id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_terms FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents)",
-    "clean_unicode": "SELECT doc_id, md5(translate(replace(replace(text, '…', '...'), chr(8203), ''), '“”‘’–—' || chr(160) || '•', '\"\"''''-- -')) AS cleaned FROM documents",
+    "clean_unicode": "SELECT doc_id, md5(translate(replace(replace(text, '…', '...'), chr(8203), ''), '“”‘’–—' || chr(160) || '•·', '\"\"''''-- --')) AS cleaned FROM documents",
     "clean_whitespace": f"SELECT doc_id, md5(array_to_string(list_transform(string_split(replace(text, chr(9), ' '), chr(10)), lambda x: {_LINE}), chr(10))) AS cleaned FROM documents",
     "collapse_newlines": r"SELECT doc_id, length(d)::INT AS before, length(regexp_replace(d, '\n{3,}', chr(10) || chr(10), 'g'))::INT AS after FROM (SELECT doc_id, replace(text, '. ', '.' || repeat(chr(10), 4)) AS d FROM documents)",
     "page_artifacts": "SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) WHERE length(line) BETWEEN 6 AND 99 GROUP BY ALL HAVING count(*) >= 5",
