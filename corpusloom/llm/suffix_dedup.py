@@ -208,7 +208,9 @@ def maximal_repeats(text: np.ndarray, lengths: np.ndarray, window: int) -> tuple
         x[1:] = value[1:] ^ value[:-1]
         lead = np.full(len(alive), 8)
         some = x > 0
-        lead[some] = 7 - (np.frexp(x[some].astype(np.float64) * (1 - 2.0**-53))[1] - 1) // 8
+        lead[some] = 7
+        for byte in range(1, 8):
+            lead -= x >= np.uint64(1 << 8 * byte)
         common[running] += lead[running]
         running &= ~some
     common[1:] = np.minimum(common[1:], np.minimum(size[alive][1:], size[alive][:-1]))

@@ -99,6 +99,19 @@ def test_suffixes(spark, window):
     assert order((x.doc_id, x.n_bytes, x.n_removed, len(x.spans) // 2, bytes(x.kept)) for x in got) == order(bytes_expected(rows, window))
 
 
+def test_suffixes_last_bit(spark):
+    """Repeats of 49 to 63 bytes that end before bytes which differ in their last bit only."""
+    r = random.Random(7)
+    rows = []
+    for n in range(49, 64):
+        run = "".join(r.choice("abcdefgh") for _ in range(n))
+        for k, rest in enumerate(("", "x", "wxyz")):
+            own = run[::-1] if k == 1 else run if k == 2 else run.upper()
+            rows += [(len(rows), own + "2" + rest, "", 0), (len(rows) + 1, own + "3" + rest, "", 0)]
+    got = dedup_suffixes(spark.createDataFrame(rows, SCHEMA), 50).collect()
+    assert order((x.doc_id, x.n_bytes, x.n_removed, len(x.spans) // 2, bytes(x.kept)) for x in got) == order(bytes_expected(rows, 50))
+
+
 def test_lines(spark):
     rows = corpus()
     got = dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()
