@@ -2,7 +2,8 @@
 
 Counts of words and word pairs are quantised to a logarithmic scale; an n-gram whose
 count has level j is in the filter once for each level up to j, so probing levels
-until one is missing gives its count.  N-grams seen once are left out, as is usual.
+until one is missing gives its count.  N-grams seen once are at
+level one; only those never seen are not in the filter.
 
 Training documents' counts are gathered exactly, chunk by chunk and hash by hash.
 Each shard of hashes builds its own segment of the filter; the segments are broadcast
@@ -37,7 +38,7 @@ END, BEGIN = np.uint64(0x5F3759DF12345677), np.uint64(0x2545F4914F6CDD1D)
 #: Weights of the pair's relative frequency, each as likely beforehand.
 WEIGHTS = (0.0, 0.1, 0.3, 0.6, 0.9)
 #: Counts at or over this are in the filter; each level's least count is so many times the last one's.
-LEAST_COUNT, SCALE = 2, 1.5
+LEAST_COUNT, SCALE = 1, 1.5
 LEVEL_STARTS = np.unique(np.ceil(LEAST_COUNT * SCALE ** np.arange(100)))
 PROBES, BITS_PER_KEY = 7, 10.1
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -205,7 +206,7 @@ def _score(broadcast, slots: int, n_train: int, n_types: int, fold: int, of: int
             elif shard in parts:
                 known[parts[shard]] = rest[0]
         lower = np.concatenate([[0.0], LEVEL_STARTS])
-        upper = np.concatenate([LEVEL_STARTS, LEVEL_STARTS[-1:] * SCALE]) - 1
+        upper = np.maximum(1, np.concatenate([LEVEL_STARTS, LEVEL_STARTS[-1:] * SCALE]) - 1)  # of unseen contexts too
         base = ((known + 0.5) / (n_train + 0.5 * (n_types + 1)))[t.place]
         before = np.full(len(t.words), len(t.distinct))
         before[1:] = t.place[:-1]

@@ -64,6 +64,47 @@ def test_scores(spark):
     assert L.score_texts(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_scores_of_all_counts(spark):
+    """Every n-gram that training has is counted; an unseen context counts as one."""
+    rows = corpus()
+    fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5
+    count, pairs = Counter(), Counter()
+    for i, t, *_ in rows:
+        if fold(i) != 1:
+            count.update(tokens(t))
+            pairs.update(zip([0, *tokens(t)], tokens(t)))
+    contexts = Counter(count) + Counter({0: sum(fold(r[0]) != 1 for r in rows)})
+    n, v = sum(count.values()), len(count)
+    starts = L.LEVEL_STARTS.tolist()
+    low = lambda c: max([0, *(s for s in starts if s <= c)])
+    high = lambda c: max(1, min(s for s in starts if s > c) - 1)
+    expected = []
+    for i, t, *_ in rows:
+        w = tokens(t)
+        p = [(count[x] + 0.5) / (n + 0.5 * (v + 1)) for x in w]
+        ratio = [min(1, low(pairs[a, b]) / high(contexts[a])) for a, b in zip([0, *w], w)]
+        each = [math.prod((1 - k) * x + k * y for x, y in zip(p, ratio)) for k in L.WEIGHTS]
+        logs = [sum(math.log10((1 - k) * x + k * y) for x, y in zip(p, ratio)) for k in L.WEIGHTS]
+        top = max(logs)
+        expected.append((-1 if i is None else i, fold(i) == 1, len(w), sum(count[x] > 0 for x in w), n, logs[0], top + math.log10(sum(10 ** (x - top) for x in logs) / len(each))))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in L.score_texts(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert L.LEVEL_STARTS[0] == 1
+    off = [g[6] - e[6] for g, e in zip(got, sorted(expected), strict=True)]
+    assert abs(np.median(off)) < 0.01 and np.mean(np.abs(off)) < 0.2  # the filter's false positives
+
+
+def test_pairs_seen_once(spark):
+    """A held-out text whose pairs were each seen once scores above its words in another order."""
+    held = [k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1][:2]
+    trained = next(k for k in range(100) if k not in held and zlib.crc32(str(k).encode()) % 5 != 1)
+    words = ["w%d" % k for k in range(60)]
+    mixed = words[::-1]
+    rows = [(trained, " ".join(words), "", 0), (held[0], " ".join(words), "", 0), (held[1], " ".join(mixed), "", 0)]
+    got = {r.doc_id: r for r in L.score_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 30
+
+
 def test_filter_levels():
     from corpusloom.llm import kernels as K
 
