@@ -13,12 +13,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 
 #: Stands for a null document id; it sorts before every other id.
 NULL_ID = np.iinfo(np.int64).min
 #: Bytes of text that are handled at once (a longer single text is one batch).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 PACKED = "slot int, payload binary"
 _PACKED_ARROW = pa.schema([("slot", pa.int32()), ("payload", pa.binary())])
@@ -95,9 +96,12 @@ class Docs:
     def rolling(self) -> Rolling:
         return Rolling(_BYTE[self.data])
 
-    def tags(self, rolling: Rolling) -> np.ndarray:
-        """16 bits of each text's hash, to tell rows with the same id apart."""
-        return (rolling.runs(self.offsets[:-1], self.offsets[1:]) >> np.uint64(48)).astype(np.uint16)
+    def row_keys(self) -> np.ndarray:
+        """64 bits of each row's id and whole text."""
+        hashes = np.empty(len(self), np.uint64)
+        for k in range(len(self)):
+            hashes[k] = xxhash.xxh3_64_intdigest(self.data[self.offsets[k] : self.offsets[k + 1]])
+        return mix(mix(self.ids.view(np.uint64)) + hashes)
 
     def words(self, space: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all words, and for each document its first word's index."""
@@ -113,18 +117,27 @@ class Docs:
         ends = np.flatnonzero(solid & ~after[1:]) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
-    def keys(self, tags: np.ndarray) -> np.ndarray:
-        return row_keys(self.ids, tags)
-
-
-def row_keys(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    return mix(mix(ids.view(np.uint64)) + tags.astype(np.uint64))
+    def take(self, rows: np.ndarray) -> "Docs":
+        lengths = np.diff(self.offsets)[rows]
+        texts = [self.data[self.offsets[k] : self.offsets[k + 1]] for k in rows.tolist()]
+        return Docs(self.ids[rows], np.concatenate([np.zeros(0, np.uint8), *texts]), np.concatenate([[0], np.cumsum(lengths)]))
 
 
 def chunk_of(ids: np.ndarray, chunks: int) -> np.ndarray:
     return (mix(ids.view(np.uint64) + np.uint64(7)) % np.uint64(chunks)).astype(np.int32)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Each word's hash, about ``step`` bytes at a time, so that a long text needs little more than its words."""
+    out, k = np.empty(len(starts), np.uint64), 0
+    while k < len(starts):
+        end = max(k + 1, int(np.searchsorted(ends, starts[k] + step, "right")))
+        a, b = int(starts[k]), int(ends[end - 1])
+        out[k:end] = Rolling(_BYTE[data[a:b]]).runs(starts[k:end] - a, ends[k:end] - a)
+        k = end
+    return out
+
+
 def window_hashes(word_hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Start indexes and hashes of all ``k``-word windows that stay in one document."""
     hashes = Rolling(word_hashes).every(k)
@@ -205,61 +218,57 @@ def dealt(slots: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def pack_documents(chunks: int):
-    """For mapInArrow: deals whole texts out to chunks by document id."""
+    """For mapInArrow: deals whole texts out to chunks by id and text; a batch's equal rows go once, with their number."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs in documents(batches):
+        for docs in documents(batches, 4 * BATCH_BYTES):
+            keys, first, times = np.unique(docs.row_keys(), return_index=True, return_counts=True)
+            docs = docs.take(first)
             rows = []
-            for slot, at in dealt(chunk_of(docs.ids, chunks)):
+            for slot, at in dealt(chunk_of(keys.view(np.int64), chunks)):
                 texts = [docs.text(k) for k in at]
-                rows.append((slot, pack(docs.ids[at], np.fromiter(map(len, texts), np.int64, len(texts)), b"".join(texts))))
+                rows.append((slot, pack(keys[at], docs.ids[at], narrow(times[at]), np.fromiter(map(len, texts), np.int64, len(texts)), b"".join(texts))))
             yield packed_rows(rows)
 
     return run
 
 
-def unpack_documents(table: pa.Table) -> Docs:
-    """A chunk's documents in the order of their ids (then texts)."""
+def unpack_documents(table: pa.Table) -> tuple[Docs, np.ndarray]:
+    """A chunk's distinct documents, by id and key, always in the same order, and how often each occurs."""
     parts = [unpack(x) for x in table.column("payload").to_pylist()]
     if not parts:
-        return Docs(np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    ids = np.concatenate([p[0] for p in parts])
-    lengths = np.concatenate([p[1] for p in parts])
-    data = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+        return Docs(np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64)), np.zeros(0, np.int64)
+    keys, ids, times, lengths = (np.concatenate([p[c] for p in parts]) for c in range(4))
     offsets = np.concatenate([[0], np.cumsum(lengths)])
-    return Docs(ids, data, offsets)
-
-
-class Positions:
-    """Lists of (document row, position), packed for the chunk that holds the row."""
-
-    @staticmethod
-    def deal(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray, chunks: int, *more: np.ndarray) -> list[tuple[int, bytes]]:
-        order = np.lexsort((pos, tags, ids))
-        ids, tags, pos, more = ids[order], tags[order], pos[order], [m[order] for m in more]
-        rows = []
-        for slot, at in dealt(chunk_of(ids, chunks)):
-            i, t, p = ids[at], tags[at], pos[at]
-            new = np.ones(len(at), bool)
-            new[1:] = (i[1:] != i[:-1]) | (t[1:] != t[:-1])
-            heads = np.flatnonzero(new)
-            rows.append((slot, pack(i[heads], t[heads], narrow(np.diff(heads, append=len(at))), narrow(p), *[m[at] for m in more])))
-        return rows
-
-    @staticmethod
-    def gather(table: pa.Table) -> tuple[np.ndarray, ...]:
-        """Row keys and positions (and what came with them) of all rows of a chunk."""
-        keys, pos, more = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-        for x in table.column("payload").to_pylist():
-            i, t, n, p, *m = unpack(x)
-            keys.append(np.repeat(row_keys(i, t), n))
-            pos.append(p.astype(np.int64))
-            more.append(m)
-        extra = [np.concatenate([m[k] for m in more]) for k in range(len(more[0]))] if more else []
-        return np.concatenate(keys), np.concatenate(pos), *extra
-
-
-def rows_of(doc_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct document keys sorted, each document's place among them, and for wanted keys theirs (all occur)."""
-    distinct, place = np.unique(doc_keys, return_inverse=True)
-    return distinct, place, np.searchsorted(distinct, wanted)
+    docs = Docs(ids, np.frombuffer(b"".join(p[4] for p in parts), np.uint8), offsets)
+    distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    total = np.bincount(place, times, len(distinct)).astype(np.int64)
+    order = np.lexsort((distinct, ids[first]))
+    return docs.take(first[order]), total[order]
+
+
+def bits(flags: np.ndarray) -> np.ndarray:
+    return np.packbits(flags)
+
+
+def unbits(packed: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(packed, count=n).view(bool)
+
+
+def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
+    """The best of each run of ``width`` values, by doubling."""
+    if len(x) < width:
+        return x[:0]
+    have, out = 1, x
+    while have * 2 <= width:
+        out = best(out[:-have], out[have:])
+        have *= 2
+    if have < width:
+        rest = width - have
+        out = best(out[:-rest], out[rest:])
+    return out
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1 ... of each run, one run after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))

@@ -55,7 +55,7 @@ class Tokens:
     """A chunk's tokens: word hashes with each document's end, and the token before each."""
 
     def __init__(self, table: pa.Table):
-        docs = K.unpack_documents(table)
+        docs = K.unpack_documents(table)[0]
         order = np.argsort(docs.ids, kind="stable")
         self.ids, parts, counts = docs.ids, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for piece in K.pieces(docs):

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from corpusloom.llm import kernels as K
 from corpusloom.llm.line_dedup import MinimalPerfectHash, dedup_lines
 from corpusloom.llm.substring_dedup import dedup_substrings
 from corpusloom.llm.suffix_dedup import dedup_suffixes
@@ -114,8 +115,27 @@ def test_suffixes_last_bit(spark):
 
 def test_lines(spark):
     rows = corpus()
-    got = dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert order((x.doc_id, x.n_lines, x.n_dropped, x.kept_text) for x in got) == order(lines_expected(rows))
+    for bound in (1 << 20, 0):  # arrays on all workers, and in their shards
+        got = dedup_lines(spark.createDataFrame(rows, SCHEMA), max_broadcast=bound, chunk_bytes=3000).collect()
+        assert order((x.doc_id, x.n_lines, x.n_dropped, x.kept_text) for x in got) == order(lines_expected(rows))
+
+
+def test_fingerprint_decides(spark, monkeypatch):
+    """The perfect hash places foreign lines as well; without the right fingerprint a line stays."""
+    import numpy as np
+
+    from corpusloom.llm import line_dedup
+
+    r = np.random.default_rng(1)
+    keys, prints, foreign = (r.integers(0, 1 << 63, n).astype(np.uint64) for n in (1000, 1000, 5000))
+    shard = line_dedup.Shard(*K.unpack(line_dedup.Shard.build(keys, prints, np.full(1000, 2, np.uint8), np.arange(1000))))
+    none = np.iinfo(np.int64).max
+    assert shard.owners(keys, prints).tolist() == list(range(1000))
+    assert (shard.index(foreign) >= 0).any() and set(shard.owners(foreign, foreign).tolist()) == {none}
+    shard.fingerprint[shard.index(keys[:1])] ^= np.uint64(1)
+    assert shard.owners(keys, prints).tolist() == [none, *range(1, 1000)]
+    shard.count[:] = 1
+    assert set(shard.owners(keys, prints).tolist()) == {none}
 
 
 @pytest.mark.parametrize("operator", [dedup_substrings, dedup_suffixes, dedup_lines])
@@ -127,5 +147,43 @@ def test_minimal_perfect_hash():
     import numpy as np
 
     keys = np.array([int.from_bytes(hashlib.md5(str(k).encode()).digest()[:8], "little") for k in range(5000)], np.uint64)
-    assert sorted(MinimalPerfectHash(keys)(keys).tolist()) == list(range(5000))
-    assert len(MinimalPerfectHash(keys[:0])(keys[:0])) == 0
+    assert sorted(MinimalPerfectHash.build(keys)(keys).tolist()) == list(range(5000))
+    assert len(MinimalPerfectHash.build(keys[:0])(keys[:0])) == 0
+
+
+def hot_corpus():
+    """One line, one passage and one id in a third of all rows and more; a long text; rows that are equal."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 6)))
+    passage = " ".join(word() for _ in range(70))
+    rows = [(k, f"{word()} {word()}\n{passage}\n{word()} the same line everywhere\nThe same line of all", "", 0) for k in range(300)]
+    rows += [(None, f"{word()} {passage}", "", 0) for _ in range(150)] + [(7, passage, "", 1)] * 150
+    return rows + [(900, " ".join(word() for _ in range(60_000)) + " " + passage, "", 0), (901, "x" * 300_000, "", 0)]
+
+
+@pytest.mark.parametrize("chunk_bytes", [4000, 1 << 20])
+def test_hot_keys(spark, chunk_bytes):
+    """Results don't hang on the number of chunks, and a hot key costs a slot one entry a chunk."""
+    rows = hot_corpus()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = dedup_substrings(docs, 20, chunk_bytes=chunk_bytes).collect()
+    assert order((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in got) == order(words_expected(rows, 20))
+    got = dedup_suffixes(docs, 50, chunk_bytes=chunk_bytes).collect()
+    assert order((x.doc_id, x.n_bytes, x.n_removed, len(x.spans) // 2, bytes(x.kept)) for x in got) == order(bytes_expected(rows, 50))
+    got = dedup_lines(docs, max_broadcast=chunk_bytes, chunk_bytes=chunk_bytes).collect()
+    assert order((x.doc_id, x.n_lines, x.n_dropped, x.kept_text) for x in got) == order(lines_expected(rows))
+
+
+def test_words_decide():
+    """Places that meet under one hash but differ in their words are told apart."""
+    import numpy as np
+
+    from corpusloom.llm.substring_dedup import first_places
+
+    texts = [list(range(4)), list(range(4)), [0, 9, 2, 3], [5, 0, 1, 2, 3], [0, 1, 2, 8]]
+    codes = np.array(sum(texts, []))
+    begins = np.cumsum([0, *map(len, texts)])[:-1]
+    same = np.zeros(5, np.uint64)
+    anchor, size = np.array([0, 0, 0, 1, 0]), np.array([1, 1, 1, 2, 1])
+    got = first_places(same, (codes, begins), anchor, size, np.array([3, 1, 0, 2, 4]), np.zeros(5, np.int64), 4, 2)
+    assert got.tolist() == [False, True, True, True, False, True]
