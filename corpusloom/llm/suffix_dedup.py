@@ -5,7 +5,7 @@ The suffix array is sharded so that every repeated string meets in one shard: ea
 hashes), which equal strings share wherever they stand.  First only the minimisers'
 hashes travel; where one is found in a single document its strings can't repeat, and
 their text is never sent.  The strings around the others go to their minimiser's
-shard, equal ones of a chunk once with all their places.
+shard, equal ones of a chunk once, with their smallest document.
 
 A shard sorts the suffixes of its distinct strings, computes the common prefixes of
 neighbours and scans them with a stack.  Each interval of the tree whose members
@@ -13,10 +13,16 @@ differ in the byte to their left is a maximal repeat group; it holds all occurre
 and those outside its smallest document are removed.  A string with several places
 is a leaf with several occurrences.
 
+A shard's strings reach as far as their windows share the minimiser, ``2 * window - 16``
+bytes at most.  Its groups are thus maximal within these strings, not within whole
+texts, and a string's first suffix counts as diverse to the left; a longer repeat comes
+out as the overlapping groups of its minimisers, which join up again in the document.
+
 Cases: a null or empty text has no bytes; texts shorter than the window stay; rows
-with the same id count as one document; a null id sorts first and comes back null;
-an empty table gives an empty result; other columns are ignored.  The kept bytes
-are binary, since a cut may fall within a character.
+with the same id count as one document; equal rows give equal results; a null id sorts
+first and comes back null; an empty table gives an empty result; other columns are
+ignored.  The kept bytes are binary, since a cut may fall within a character.  A single
+text must fit a task.
 """
 
 from __future__ import annotations
@@ -24,114 +30,126 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from corpusloom.llm import exchange as X
 from corpusloom.llm import kernels as K
-from corpusloom.runtime import fan_out, ship_package
 
 GRAM = 16
 RESULT = "doc_id long, kept binary, n_bytes long, n_removed long, spans array<int>"
 _RESULT = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int32()))])
 
 
-def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
-    """The best of each run of ``width`` values, by doubling."""
-    have = 1
-    out = x
-    while have * 2 <= width:
-        out = best(out[:-have], out[have:])
-        have *= 2
-    if have < width:
-        rest = width - have
-        out = best(out[:-rest], out[rest:])
-    return out
-
-
-def _minima(docs: K.Docs, rolling: K.Rolling, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all grams, and for each window its least one (0 where it leaves its document)."""
-    n, span = len(docs.data), window - GRAM + 1
-    grams = rolling.every(GRAM)
-    if n < window:
-        return grams, (grams >> np.uint64(32)).astype(np.uint32), np.zeros(0, np.uint32)
-    short = (grams >> np.uint64(32)).astype(np.uint32)
-    least = _sliding(short, span, np.minimum)
-    doc = np.repeat(np.arange(len(docs)), np.diff(docs.offsets))
-    least[doc[: n - window + 1] != doc[window - 1 :]] = 0
-    return grams, short, least
-
-
-def _anchors(window: int, slots: int):
-    span = window - GRAM + 1
-
-    def run(batches):
-        for docs in K.documents(batches):
-            rolling = docs.rolling()
-            grams, short, least = _minima(docs, rolling, window)
-            if not len(least):
-                continue
-            padded = np.zeros(len(least) + 2 * (span - 1), np.uint32)
-            padded[span - 1 : span - 1 + len(least)] = least
-            at = np.flatnonzero((_sliding(padded, span, np.maximum) == short) & (short > 0))
-            h = grams[at]
-            ids, tags, lengths = np.diff(docs.ids, prepend=0), docs.tags(rolling), K.narrow(np.diff(docs.offsets))
-            yield K.packed_rows([(slot, K.pack(ids, tags, lengths, K.steps(at[part]), (h[part] >> np.uint64(32)).astype(np.uint32), (h[part] >> np.uint64(24)).astype(np.uint8))) for slot, part in K.dealt((h % np.uint64(slots)).astype(np.int32))])
+class Minimisers:
+    """A chunk's bytes, and the places of its windows' minimisers."""
+
+    def __init__(self, table: pa.Table, window: int, slots: int):
+        self.docs, self.times = K.unpack_documents(table)
+        span = window - GRAM + 1
+        places, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+        for docs in K.pieces(self.docs):
+            n = len(docs.data)
+            if n >= window:
+                grams = docs.rolling().every(GRAM)
+                short = (grams >> np.uint64(32)).astype(np.uint32)
+                least = self.least(docs, short, window)
+                padded = np.zeros(len(least) + 2 * (span - 1), np.uint32)
+                padded[span - 1 : span - 1 + len(least)] = least
+                chosen = np.flatnonzero((K.sliding(padded, span, np.maximum) == short) & (short > 0))
+                places.append(chosen + at)
+                hashes.append(grams[chosen])
+            at += n
+        self.at, self.hashes = np.concatenate(places), np.concatenate(hashes)
+        self.sent = X.Sent(self.hashes, slots)
+
+    @staticmethod
+    def least(docs: K.Docs, short: np.ndarray, window: int) -> np.ndarray:
+        """The least gram hash of each window; 0 where it leaves its document."""
+        least = K.sliding(short, window - GRAM + 1, np.minimum)
+        doc = np.repeat(np.arange(len(docs), dtype=np.int32), np.diff(docs.offsets))
+        least[doc[: len(least)] != doc[window - 1 :]] = 0
+        return least
+
+    def doc_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.docs.offsets, at, "right") - 1
+
+
+class Strings:
+    """The strings around the minimisers that hit; equal ones have one number."""
+
+    def __init__(self, m: Minimisers, hits: np.ndarray, window: int, slots: int):
+        span = window - GRAM + 1
+        own = hits[m.sent.place] if len(m.at) else np.zeros(0, bool)
+        at, hashes = m.at[own], m.hashes[own]
+        begins, ends, keep, whole, base, done = [], [], [], [], 0, 0
+        for docs in K.pieces(m.docs):
+            n = len(docs.data)
+            part = slice(done, int(np.searchsorted(at, base + n)))
+            done = part.stop
+            if part.stop > part.start:
+                rolling = docs.rolling()
+                short = (rolling.every(GRAM) >> np.uint64(32)).astype(np.uint32)
+                least = Minimisers.least(docs, short, window)
+                here = at[part] - base
+                begin, end = np.full(len(here), -1), np.zeros(len(here), np.int64)
+                for d in range(span - 1, -1, -1):  # windows that begin d bytes before the minimiser
+                    start = here - d
+                    real = (start >= 0) & (start < len(least))
+                    real[real] = least[start[real]] == short[here[real]]
+                    begin = np.where(real & (begin < 0), start, begin)
+                    end = np.where(real, start + window, end)
+                real = begin >= 0
+                begins.append(begin[real] + base)
+                ends.append(end[real] + base)
+                keep.append(real)
+                whole.append(rolling.runs(begin[real], end[real]))
+            base += n
+        none = np.zeros(0, np.int64)
+        self.begin, self.end = np.concatenate([none, *begins]), np.concatenate([none, *ends])
+        self.hash = hashes[np.concatenate([np.zeros(0, bool), *keep])]
+        self.ids = m.docs.ids[m.doc_of(self.begin)]
+        whole = np.concatenate([np.zeros(0, np.uint64), *whole])
+        order = np.lexsort((self.ids, whole))
+        new = np.ones(len(order), bool)
+        new[1:] = whole[order][1:] != whole[order][:-1]
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.cumsum(new) - 1
+        self.sample = order[new]  # of each number, its place in the smallest document
+        self.parts = list(K.dealt((self.hash[self.sample] % np.uint64(slots)).astype(np.int32)))
+
+    def lengths(self) -> np.ndarray:
+        return (self.end - self.begin)[self.sample]
+
+
+def _send(window: int, slots: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        m = Minimisers(table, window, slots)
+        ids = m.docs.ids[m.doc_of(m.at)]
+        low = np.full(len(m.sent.distinct), np.iinfo(np.int64).max)
+        np.minimum.at(low, m.sent.place, ids)
+        several = np.zeros(len(low), bool)
+        several[m.sent.place[ids != low[m.sent.place]]] = True
+        return m.sent.messages(key[0].as_py(), several)
 
     return run
 
 
-def _repeated(chunks: int):
-    def run(table: pa.Table) -> pa.Table:
-        parts = []
-        for payload in table.column("payload").to_pylist():
-            ids, tags, lengths, at, high, low = K.unpack(payload)
-            first = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-            at = K.unsteps(at)
-            doc = np.searchsorted(first, at, "right") - 1
-            parts.append((np.cumsum(ids)[doc], tags[doc], at - first[doc], high.astype(np.uint64) << np.uint64(8) | low))
-        ids, tags, pos, h = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(h)
-        ids, tags, pos, h = ids[order], tags[order], pos[order], h[order]
-        heads = np.flatnonzero(np.diff(h, prepend=h[:1] + np.uint64(1)))
-        several = np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads)
-        keep = np.repeat(several, np.diff(heads, append=len(h)))
-        return K.packed_table(K.Positions.deal(ids[keep], tags[keep], pos[keep], chunks))
-
-    return run
-
+def _repeated(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Minimisers of several documents, or of one whose rows are in several chunks."""
+    got = X.Received(table)
+    _, place = np.unique(got.hashes, return_inverse=True)
+    return got.answer(key[0].as_py(), (np.bincount(place, 1 + got.flags[0]) > 1)[place])
 
-def _strings(window: int, slots: int):
-    span = window - GRAM + 1
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, pos = K.Positions.gather(right)
+def _send_strings(window: int, slots: int):
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
-        for docs in K.pieces(K.unpack_documents(left)) if len(keys) else ():
-            rolling = docs.rolling()
-            tags = docs.tags(rolling)
-            distinct, place, _ = K.rows_of(docs.keys(tags), keys)
-            sole = np.full(len(distinct), -1)
-            sole[place[::-1]] = np.arange(len(docs))[::-1]
-            known = np.isin(keys, distinct)
-            doc = sole[np.searchsorted(distinct, keys[known])]
-            at = docs.offsets[doc] + pos[known]
-            order = np.argsort(at)
-            doc, at = doc[order], at[order]
-            grams, short, least = _minima(docs, rolling, window)
-            if not len(least) or not len(at):
-                continue
-            grid = at[:, None] - np.arange(span)[::-1]
-            own = (grid >= 0) & (grid < len(least))
-            own &= least[np.clip(grid, 0, len(least) - 1)] == short[at][:, None]
-            real = own.any(axis=1)
-            doc, at, own = doc[real], at[real], own[real]
-            begin = at - (span - 1) + own.argmax(axis=1)
-            end = at - own[:, ::-1].argmax(axis=1) + window
-            h, whole = grams[at], rolling.runs(begin, end)
-            for slot, part in K.dealt((h % np.uint64(slots)).astype(np.int32)):
-                _, sample, which = np.unique(whole[part], return_index=True, return_inverse=True)
-                b, e, d = begin[part][sample], end[part][sample], doc[part]
-                text = b"".join(docs.data[x:y].tobytes() for x, y in zip(b.tolist(), e.tolist(), strict=True))
-                rows.append((slot, K.pack(whole[part][sample], (e - b).astype(np.uint8), text, K.narrow(which), np.diff(docs.ids[d], prepend=0), tags[d], K.narrow(begin[part] - docs.offsets[d]))))
+        if right.num_rows:
+            m = Minimisers(left, window, slots)
+            s = Strings(m, m.sent.flags(X.answers_of(right)), window, slots)
+            for slot, at in s.parts:
+                k = s.sample[at]
+                text = m.docs.data[K.spread(s.begin[k], s.end[k] - s.begin[k])].tobytes()
+                rows.append((slot, K.pack(key[0].as_py(), (s.end - s.begin)[k].astype(np.uint8), s.ids[k], text)))
         return K.packed_table(rows)
 
     return run
@@ -227,78 +245,102 @@ def maximal_repeats(text: np.ndarray, lengths: np.ndarray, window: int) -> tuple
     return np.repeat(np.arange(len(length)), sizes), string[alive][member], offset[alive][member], length
 
 
-def _removals(window: int, chunks: int):
-    def run(table: pa.Table) -> pa.Table:
-        hashes, sizes, texts, which, ids, tags, pos, base = [], [], [], [], [], [], [], 0
-        for payload in table.column("payload").to_pylist():
-            w, n, t, k, i, g, p = K.unpack(payload)
-            hashes.append(w)
-            sizes.append(n)
-            texts.append(t)
-            which.append(k.astype(np.int64) + base)
-            ids.append(np.cumsum(i))
-            tags.append(g)
-            pos.append(p.astype(np.int64))
-            base += len(w)
-        sizes = np.concatenate(sizes).astype(np.int64)
+def _removals(window: int):
+    """For each byte of each string, whether a smaller document than the string's holds a window over it."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        parts = [K.unpack(x) for x in table.column("payload").to_pylist()]
+        sizes = np.concatenate([p[1] for p in parts]).astype(np.int64)
+        ids = np.concatenate([p[2] for p in parts])
+        flat = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
         begins = np.cumsum(sizes) - sizes
-        _, sample, same = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        which, ids, tags, pos = same[np.concatenate(which)], np.concatenate(ids), np.concatenate(tags), np.concatenate(pos)
-        lengths = sizes[sample]
-        stride = -(-int(lengths.max()) // 8) * 8 + 8
-        flat = np.frombuffer(b"".join(texts), np.uint8)
-        inside = np.arange(stride) < lengths[:, None]
-        text = np.zeros((len(sample), stride), np.uint8)
-        text[inside] = flat[np.repeat(begins[sample] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
+        stride = -(-int(sizes.max()) // 8) * 8 + 8
+        text = np.zeros((len(sizes), stride), np.uint8)
+        text[np.arange(stride) < sizes[:, None]] = flat
+        column = pa.Array.from_buffers(pa.binary(stride), len(sizes), [None, pa.py_buffer(text)])
+        same = column.dictionary_encode().indices.to_numpy().astype(np.int64)  # equal strings of several chunks
+        sample = np.full(int(same.max()) + 1, -1)
+        sample[same[::-1]] = np.arange(len(same))[::-1]
         owner = np.full(len(sample), np.iinfo(np.int64).max)
-        np.minimum.at(owner, which, ids)
+        np.minimum.at(owner, same, ids)
+        edge = np.zeros(int(sizes.sum()) + 1, np.int32)
         # All occurrences of a whole string outside its smallest document.
-        extra = ids > owner[which]
-        out = [(ids[extra], tags[extra], pos[extra], lengths[which][extra])]
+        extra = np.flatnonzero(ids > owner[same])
+        np.add.at(edge, begins[extra], 1)
+        np.add.at(edge, begins[extra] + sizes[extra], -1)
         # In its smallest document, what a repeat group shares with a smaller one.
-        group, string, offset, length = maximal_repeats(text, lengths, window)
+        group, string, offset, length = maximal_repeats(text[sample], sizes[sample], window)
         if len(group):
             smallest = np.full(len(length), np.iinfo(np.int64).max)
             np.minimum.at(smallest, group, owner[string])
             mine = smallest[group] < owner[string]
             group, string, offset = group[mine], string[mine], offset[mine]
-            first = np.flatnonzero(~extra)
-            first = first[np.argsort(which[first], kind="stable")]
-            low = np.searchsorted(which[first], string)
-            count = np.searchsorted(which[first], string, "right") - low
-            at = first[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-            out.append((ids[at], tags[at], pos[at] + np.repeat(offset, count), np.repeat(length[group], count)))
-        i, t, p, n = (np.concatenate(x) for x in zip(*out, strict=True))
-        return K.packed_table(K.Positions.deal(i, t, p, chunks, n.astype(np.uint32)))
+            first = np.flatnonzero(ids == owner[same])
+            first = first[np.argsort(same[first], kind="stable")]
+            low = np.searchsorted(same[first], string)
+            count = np.searchsorted(same[first], string, "right") - low
+            at = begins[first[K.spread(low, count)]] + np.repeat(offset, count)
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + np.repeat(length[group], count), -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        rows, at = [], 0
+        for p in parts:
+            n = int(p[1].sum(dtype=np.int64))
+            rows.append((p[0], K.pack(1, key[0].as_py(), K.bits(gone[at : at + n]))))
+            at += n
+        return K.packed_table(rows)
 
     return run
 
 
-def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
-    keys, pos, *size = K.Positions.gather(right)
-    out = ([], [], [], [], [])
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    for docs in K.pieces(K.unpack_documents(left)):
-        doc_keys = docs.keys(docs.tags(docs.rolling()))
-        low, high = np.searchsorted(keys, doc_keys), np.searchsorted(keys, doc_keys, "right")
+def _finish(window: int, slots: int):
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        if right.num_rows:
+            m = Minimisers(left, window, slots)
+            docs, times = m.docs, m.times
+            s = Strings(m, m.sent.flags(X.answers_of(right)), window, slots)
+            sizes, answers = s.lengths(), X.answers_of(right, 1)
+            base = np.cumsum(sizes) - sizes
+            gone = np.zeros(int(sizes.sum()), bool)
+            for slot, at in s.parts:
+                where = K.spread(base[at], sizes[at])
+                gone[where] = K.unbits(answers[slot], len(where))
+            edge = np.zeros(len(docs.data) + 1, np.int32)
+            later = s.ids > s.ids[s.sample[s.number]]
+            np.add.at(edge, s.begin[later], 1)
+            np.add.at(edge, s.end[later], -1)
+            runs = np.diff(gone.astype(np.int8), prepend=0)
+            runs[base] = gone[base]  # a string's run does not begin in the one before
+            stops = np.diff(gone.astype(np.int8), append=0) < 0
+            stops[np.append(base[1:], len(gone)) - 1] = gone[np.append(base[1:], len(gone)) - 1]
+            starts, stops = np.flatnonzero(runs > 0), np.flatnonzero(stops) + 1
+            of = np.searchsorted(base, starts, "right") - 1
+            low = np.searchsorted(of, s.number[~later])
+            count = np.searchsorted(of, s.number[~later], "right") - low
+            which = K.spread(low, count)
+            shift = np.repeat(s.begin[~later] - base[s.number[~later]], count)
+            np.add.at(edge, starts[which] + shift, 1)
+            np.add.at(edge, stops[which] + shift, -1)
+            removed = np.cumsum(edge[:-1]) > 0
+        else:
+            docs, times = K.unpack_documents(left)
+            removed = np.zeros(len(docs.data), bool)
+        out: tuple[list, ...] = ([], [], [], [], [])
         for k in range(len(docs)):
-            text, spans = docs.data[docs.offsets[k] : docs.offsets[k + 1]], []
-            n = len(text)
-            if high[k] > low[k]:
-                at = order[low[k] : high[k]]
-                edge = np.zeros(n + 1, np.int64)
-                np.add.at(edge, pos[at], 1)
-                np.add.at(edge, pos[at] + size[0][at], -1)
-                gone = np.cumsum(edge[:n]) > 0
-                spans = np.flatnonzero(np.diff(gone, prepend=False, append=False)).tolist()
-                text = text[~gone]
-            for c, value in zip(out, (None if docs.ids[k] == K.NULL_ID else int(docs.ids[k]), text.tobytes(), n, n - len(text), spans), strict=True):
-                c.append(value)
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, _RESULT.types, strict=True)], schema=_RESULT)
-
-
-def dedup_suffixes(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            a, z = int(docs.offsets[k]), int(docs.offsets[k + 1])
+            text, own, spans = docs.data[a:z], removed[a:z], []
+            if own.any():
+                spans = np.flatnonzero(np.diff(own, prepend=False, append=False)).tolist()
+                text = text[~own]
+            values = (None if docs.ids[k] == K.NULL_ID else int(docs.ids[k]), text.tobytes(), z - a, z - a - len(text), spans)
+            for column, value in zip(out, values, strict=True):
+                column.extend([value] * int(times[k]))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, _RESULT.types, strict=True)], schema=_RESULT)
+
+    return run
+
+
+def dedup_suffixes(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = X.CHUNK_BYTES) -> DataFrame:
     """Remove every byte of a ``window``-byte string that is also in a document with a smaller id.
 
     Returns per input row: doc_id, kept, n_bytes, n_removed, spans (removed byte
@@ -306,12 +348,10 @@ def dedup_suffixes(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     """
     if not GRAM < window <= 128:
         raise ValueError(f"window must be from {GRAM + 1} to 128 bytes")
-    spark = docs.sparkSession
-    ship_package(spark)
-    n, chunks = fan_out(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    packed = texts.mapInArrow(K.pack_documents(chunks), K.PACKED)
-    repeated = texts.mapInArrow(_anchors(window, n), K.PACKED).groupBy("slot").applyInArrow(_repeated(chunks), K.PACKED)
-    strings = packed.groupBy("slot").cogroup(repeated.groupBy("slot")).applyInArrow(_strings(window, n), K.PACKED)
-    removals = strings.groupBy("slot").applyInArrow(_removals(window, chunks), K.PACKED)
-    return packed.groupBy("slot").cogroup(removals.groupBy("slot")).applyInArrow(_finish, RESULT)
+    texts = X.select_texts(docs, id_col, text_col)
+    n = X.parts_of(texts, chunk_bytes)
+    packed = X.chunked(texts, n)
+    repeated = packed.applyInArrow(_send(window, n), K.PACKED).groupBy("slot").applyInArrow(_repeated, K.PACKED)
+    strings = packed.cogroup(repeated.groupBy("slot")).applyInArrow(_send_strings(window, n), K.PACKED)
+    removals = strings.groupBy("slot").applyInArrow(_removals(window), K.PACKED)
+    return packed.cogroup(repeated.unionByName(removals).groupBy("slot")).applyInArrow(_finish(window, n), RESULT)
