@@ -1,20 +1,25 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and word pairs are quantised to a logarithmic scale; an n-gram whose
-count has level j is in the filter once for each level up to j, so probing levels
-until one is missing gives its count.  N-grams seen once are at
-level one; only those never seen are not in the filter.
-
-Training documents' counts are gathered exactly, chunk by chunk and hash by hash.
-Each shard of hashes builds its own segment of the filter; the segments are broadcast
-in groups of at most ``max_filter_bytes``.  When they need several groups, the texts
-are gone over once for each, and the levels found are kept until the last pass; the
-filter that a worker holds thus has a fixed bound whatever the corpus.
-
-The score of a text mixes, with equal weight for each of ``WEIGHTS``, models that
-interpolate the pair's relative frequency with the add-half unigram estimate.  The
-pair's count is taken at its level's lower end and its context's at the upper end, so
-that probabilities never sum to more than one (but for the filter's false positives).
+Counts of words, word pairs and triples are quantised to a logarithmic scale; an n-gram
+whose count has level j is in the filter once for each level up to j, so probing levels
+until one is missing gives its count.  All n-grams of the training documents are in it,
+those seen once at level one.
+
+Chunks of documents send each slot their distinct n-grams with their counts; a slot adds
+them up and builds its segment of the filter.  Whitespace bounds the number of n-grams
+beforehand.  A filter that is certain to stay under ``max_filter_bytes`` is broadcast, and
+chunks probe it as they are scored.  A larger one stays where it is built: a slot probes its
+segment with the n-grams that the chunks sent, and the levels go back.  Either way each text
+is gone over once to count and once to score, whatever the size of the corpus, and the
+levels are the same.
+
+A word's probability given the two before it is smoothed by hierarchical Dirichlet priors:
+with ``b`` the add-half unigram estimate, ``p2 = (c(vw) + m2 * b) / (c(v) + m2)`` and
+``p3 = (c(uvw) + m3 * p2) / (c(uv) + m3)``.  An n-gram's count is taken at its level's lower
+end and its context's at the upper end, so that probabilities never sum to more than one
+(but for the filter's false positives).  A text's score mixes, with equal weight for each of
+``PRIORS``, the model with these ``m2`` and ``m3``, and the unigram model.  ``base_score`` and
+``n_known`` come from the words' exact counts, which slots send back as well.
 
 Cases: a null or empty text is its end token alone; without any training document
 all estimates are one; rows with the same id are scored each; a null id counts as the
@@ -24,6 +29,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -31,20 +37,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import exchange as X
 from corpusloom.llm import kernels as K
-from corpusloom.runtime import fan_out, materialise, ship_package
+from corpusloom.runtime import materialise
 
 END, BEGIN = np.uint64(0x5F3759DF12345677), np.uint64(0x2545F4914F6CDD1D)
-#: Weights of the pair's relative frequency, each as likely beforehand.
-WEIGHTS = (0.0, 0.1, 0.3, 0.6, 0.9)
-#: Counts at or over this are in the filter; each level's least count is so many times the last one's.
-LEAST_COUNT, SCALE = 1, 1.5
-LEVEL_STARTS = np.unique(np.ceil(LEAST_COUNT * SCALE ** np.arange(100)))
+#: Strength of the pair's and the triple's prior.
+PRIORS = ((1.0, 0.5), (8.0, 4.0), (60.0, 30.0))
+#: Each level's least count is so many times the last one's.
+SCALE = 1.3
+LEVEL_STARTS = np.unique(np.ceil(SCALE ** np.arange(150)))
 PROBES, BITS_PER_KEY = 7, 10.1
+MAX_FILTER_BYTES = 128 << 20
+CHUNK_BYTES = 4 << 20
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_TABLE = pa.schema([("kind", pa.int32()), ("slot", pa.int32()), ("payload", pa.binary()), ("n_tokens", pa.int64()), ("n_types", pa.int64()), ("n_keys", pa.int64())])
-TABLE = "kind int, slot int, payload binary, n_tokens long, n_types long, n_keys long"
+_TABLE = pa.schema([("kind", pa.int32()), ("slot", pa.int32()), ("payload", pa.binary()), ("n_tokens", pa.int64()), ("n_types", pa.int64())])
+TABLE = "kind int, slot int, payload binary, n_tokens long, n_types long"
 
 
 def folds(ids: np.ndarray, n: int) -> np.ndarray:
@@ -52,207 +61,189 @@ def folds(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 class Tokens:
-    """A chunk's tokens: word hashes with each document's end, and the token before each."""
-
-    def __init__(self, table: pa.Table):
-        docs = K.unpack_documents(table)[0]
-        order = np.argsort(docs.ids, kind="stable")
-        self.ids, parts, counts = docs.ids, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for piece in K.pieces(docs):
-            low = piece.lowered()
-            starts, ends, first = low.words()
-            words = low.rolling().runs(starts, ends)
-            parts.append(np.insert(words, first[1:], END))
-            counts.append(np.diff(first) + 1)
-        self.order = order
-        self.counts = np.concatenate(counts)
-        self.words = np.concatenate(parts)
+    """A chunk's tokens: word hashes with each document's end, and its distinct words and n-grams."""
+
+    def __init__(self, table: pa.Table, slots: int):
+        docs, self.times = K.unpack_documents(table)
+        low = docs.lowered()
+        starts, ends, first = low.words()
+        self.ids = docs.ids
+        self.counts = np.diff(first) + 1
+        words = np.insert(K.word_hashes(low.data, starts, ends), first[1:], END)
         self.ends = np.cumsum(self.counts)
-        before = np.empty_like(self.words)
-        before[1:] = self.words[:-1]
-        before[self.ends - self.counts] = BEGIN
-        self.before = before
-        self.distinct, self.place = np.unique(self.words, return_inverse=True)
-
-    def pairs(self) -> np.ndarray:
-        return K.mix(self.before * np.uint64(0xC2B2AE3D27D4EB4F) + self.words)
-
-
-def _shards(h: np.ndarray, slots: int) -> np.ndarray:
-    return (h % np.uint64(slots)).astype(np.int32)
+        begins = self.ends - self.counts
+        before, further = np.empty_like(words), np.empty_like(words)
+        before[1:] = words[:-1]
+        before[begins] = BEGIN
+        further[1:] = before[:-1]
+        further[begins] = END
+        self.words, self.word = np.unique(words, return_inverse=True)
+        self.word_parts = list(K.dealt((self.words % np.uint64(slots)).astype(np.int32)))
+        # Contexts are n-grams themselves: a pair's is the word before, a triple's the pair before.
+        pair, context = self.join(before, words), self.join(further, before)
+        self.sent = X.Sent(np.concatenate([K.mix(words), K.mix(np.array([BEGIN])), pair, self.join(context, words)]), slots)
+        n = len(words)
+        place = self.sent.place
+        one = np.full(n, place[n])
+        one[1:] = place[: n - 1]
+        one[begins] = place[n]
+        two = np.full(n, -1)
+        two[1:] = place[n + 1 : 2 * n]
+        two[begins] = -1
+        self.pair, self.triple, self.before_one, self.before_two = place[n + 1 : 2 * n + 1], place[2 * n + 1 :], one, two
+
+    @staticmethod
+    def join(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+        return K.mix(first * np.uint64(0xC2B2AE3D27D4EB4F) + then)
+
+    def train_counts(self, fold: int, of: int) -> tuple[np.ndarray, np.ndarray]:
+        """How often training documents hold each distinct word, and each distinct n-gram."""
+        weight = np.where(folds(self.ids, of) != fold, self.times, 0)
+        each = np.repeat(weight, self.counts)
+        grams = np.concatenate([each, [weight.sum()], each, each])
+        count = lambda place, w, n: np.bincount(place, w, n).astype(np.int64)
+        return count(self.word, each, len(self.words)), count(self.sent.place, grams, len(self.sent.distinct))
 
 
 def _count(fold: int, of: int, slots: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        t = Tokens(table)
-        train = folds(t.ids, of) != fold
-        mask = np.repeat(train, t.counts)
-        seen = np.bincount(t.place[mask], minlength=len(t.distinct))
-        pairs, times = np.unique(t.pairs()[mask], return_counts=True)
-        pairs, times = np.append(pairs, BEGIN), np.append(times, train.sum())
-        by_slot = dict(K.dealt(_shards(pairs, slots)))
-        rows = []
-        for slot, part in K.dealt(_shards(t.distinct, slots)):
-            own = by_slot.pop(slot, [])
-            rows.append((slot, K.pack(key[0].as_py(), t.distinct[part], K.narrow(seen[part]), pairs[own], K.narrow(times[own]))))
-        none = np.zeros(0, np.uint64)
-        rows += [(slot, K.pack(key[0].as_py(), none, K.narrow(none), pairs[own], K.narrow(times[own]))) for slot, own in by_slot.items()]
+        t = Tokens(table, slots)
+        seen, times = t.train_counts(fold, of)
+        words = dict(t.word_parts)
+        short = (t.sent.distinct >> np.uint64(32)).astype(np.int64)
+        none = np.zeros(0, np.int64)
+        rows, grams = [], dict(t.sent.parts)
+        for slot in sorted(words.keys() | grams.keys()):
+            w, g = words.get(slot, none), grams.get(slot, none)
+            rows.append((slot, K.pack(key[0].as_py(), t.words[w], K.narrow(seen[w]), K.steps(short[g]), K.narrow(times[g]))))
         return K.packed_table(rows)
 
     return run
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
-    return np.searchsorted(LEVEL_STARTS, counts, "right")
+    return np.searchsorted(LEVEL_STARTS, counts, "right").astype(np.uint8)
 
 
-def _merge():
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        chunks, words, seen, pairs, times = zip(*(K.unpack(x) for x in table.column("payload").to_pylist()), strict=True)
-        distinct, place = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(place, np.concatenate(seen).astype(np.float64), len(distinct)).astype(np.int64)
-        grams, where = np.unique(np.concatenate(pairs), return_inverse=True)
-        number = np.bincount(where, np.concatenate(times).astype(np.float64), len(grams)).astype(np.int64)
-        rows, at = [], 0
-        for chunk, w in zip(chunks, words, strict=True):
-            rows.append((0, chunk, K.pack(key[0].as_py(), K.narrow(total[place[at : at + len(w)]])), 0, 0, 0))
-            at += len(w)
-        grams, number = np.concatenate([distinct, grams]), np.concatenate([total, number])
-        level = _levels(number)
-        keep = level > 0
-        rows.append((1, key[0].as_py(), K.pack(grams[keep], level[keep].astype(np.uint8)), int(total.sum()), int((total > 0).sum()), int(level.sum())))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TABLE.types, strict=True)], schema=_TABLE)
+def _bits(h: np.ndarray, level: int, probe: int, size: np.ndarray | int) -> np.ndarray:
+    """Which bit of its segment an n-gram's level sets or reads."""
+    x = K.mix(h + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64)) + np.uint64(probe * 0xD6E8FEB86659FD93 % (1 << 64)))
+    return ((x >> np.uint64(32)) * np.asarray(size).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
 
-    return run
 
+def segment(grams: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The bits, packed, of a segment that holds n-grams at their levels."""
+    size = 8 * max(1, int(np.ceil(int(level.sum(dtype=np.int64)) * BITS_PER_KEY / 8)))
+    field = np.zeros(size, bool)
+    for j in range(1, int(level.max(initial=0)) + 1):
+        grams, level = grams[level >= j], level[level >= j]
+        for probe in range(PROBES):
+            field[_bits(grams, j, probe, size)] = True
+    return np.packbits(field, bitorder="little")
 
-def _bits(h: np.ndarray, level: int | np.ndarray, probe: int, size: np.ndarray | int) -> np.ndarray:
-    """Which bit of its segment an n-gram's level sets or reads."""
-    x = K.mix(h + np.asarray(level).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(probe * 0xD6E8FEB86659FD93 % (1 << 64)))
-    return ((x >> np.uint64(32)) * np.asarray(size).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+
+def probed(field: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Each n-gram's level, by probing one level after the other until one is missing."""
+    out = np.zeros(len(grams), np.uint8)
+    alive, level = np.arange(len(grams)), 0
+    while len(alive):
+        level += 1
+        for probe in range(PROBES):
+            bit = _bits(grams[alive], level, probe, 8 * len(field))
+            alive = alive[(field[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+        out[alive] = level
+    return out
 
 
-def segment_bits(keys: int) -> int:
-    """Bits of a segment with so many keys; a multiple of 8."""
-    return 8 * max(1, int(np.ceil(keys * BITS_PER_KEY / 8)))
-
-
-def _segment(batches):
-    for batch in batches:
-        rows = []
-        for slot, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            grams, level = K.unpack(payload)
-            size = segment_bits(int(level.sum(dtype=np.int64)))
-            field = np.zeros(size, bool)
-            for j in range(1, int(level.max(initial=0)) + 1):
-                own = grams[level >= j]
-                for probe in range(PROBES):
-                    field[_bits(own, j, probe, size)] = True
-            rows.append((slot, np.packbits(field, bitorder="little").tobytes()))
-        yield K.packed_rows(rows)
-
-
-class Filter:
-    """Some segments of the filter, as one array of bytes."""
-
-    def __init__(self, slots: int, segments: dict[int, bytes]):
-        self.slots = slots
-        self.size, self.base = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
-        at = 0
-        for slot in sorted(segments):
-            self.base[slot], self.size[slot] = at, 8 * len(segments[slot])
-            at += 8 * len(segments[slot])
-        self.field = np.frombuffer(b"".join(segments[s] for s in sorted(segments)) or b"\0", np.uint8)
-
-    def levels(self, grams: np.ndarray) -> np.ndarray:
-        """Each n-gram's level, by probing one level after the other until one is missing."""
-        out = np.zeros(len(grams), np.uint8)
-        slot = _shards(grams, self.slots)
-        alive = np.flatnonzero(self.size[slot] > 0)
-        level = 0
-        while len(alive):
-            level += 1
-            for probe in range(PROBES):
-                g, s = grams[alive], slot[alive]
-                bit = self.base[s] + _bits(g, level, probe, self.size[s])
-                alive = alive[(self.field[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
-            out[alive] = level
-        return out
-
-
-def _probe(broadcast):
-    """A pass over the texts for one group of segments that isn't the last."""
+def _merge(resident: bool):
+    """A slot's answers to its chunks, and its segment where that is to be broadcast."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        t = Tokens(table)
-        pairs = np.unique(t.pairs())
-        return K.packed_table([(key[0].as_py(), K.pack(-1, broadcast.value.levels(pairs), broadcast.value.levels(np.append(t.distinct, BEGIN))))])
+        slot = key[0].as_py()
+        parts = [K.unpack(x) for x in table.column("payload").to_pylist()]
+        distinct, place = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([p[2] for p in parts]), len(distinct)).astype(np.int64)
+        grams, where = np.unique(np.concatenate([K.unsteps(p[3]) for p in parts]), return_inverse=True)
+        level = _levels(np.bincount(where, np.concatenate([p[4] for p in parts]), len(grams)).astype(np.int64))
+        field = segment(grams.view(np.uint64), level)
+        found = probed(field, grams.view(np.uint64)) if resident else None
+        rows, at, base = [], 0, 0
+        for p in parts:
+            own = [found[where[base : base + len(p[3])]]] if resident else []
+            rows.append((0, p[0], K.pack(0, slot, K.narrow(total[place[at : at + len(p[1])]]), *own), 0, 0))
+            at, base = at + len(p[1]), base + len(p[3])
+        rows.append((1, slot, b"" if resident else field.tobytes(), int(total.sum()), int((total > 0).sum())))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TABLE.types, strict=True)], schema=_TABLE)
 
     return run
 
 
-def _score(broadcast, slots: int, n_train: int, n_types: int, fold: int, of: int):
+#: The filter that this worker has, of one query at a time.
+_held: dict[str, dict[int, np.ndarray]] = {}
+
+
+def _segments(broadcast, label: str) -> dict[int, np.ndarray]:
+    if label not in _held:
+        _held.clear()
+        _held[label] = {slot: np.frombuffer(field, np.uint8) for slot, field in broadcast.value.items()}
+    return _held[label]
+
+
+def _score(broadcast, label: str, slots: int, n_train: int, n_types: int, fold: int, of: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        t = Tokens(left)
-        pairs, place = np.unique(t.pairs(), return_inverse=True)
-        contexts = np.append(t.distinct, BEGIN)
-        pair_level, context_level = broadcast.value.levels(pairs), broadcast.value.levels(contexts)
-        known = np.zeros(len(t.distinct), np.int64)
-        parts = dict(K.dealt(_shards(t.distinct, slots)))
-        for payload in right.column("payload").to_pylist():
-            shard, *rest = K.unpack(payload)
-            if shard < 0:
-                pair_level, context_level = np.maximum(pair_level, rest[0]), np.maximum(context_level, rest[1])
-            elif shard in parts:
-                known[parts[shard]] = rest[0]
-        lower = np.concatenate([[0.0], LEVEL_STARTS])
-        upper = np.maximum(1, np.concatenate([LEVEL_STARTS, LEVEL_STARTS[-1:] * SCALE]) - 1)  # of unseen contexts too
-        base = ((known + 0.5) / (n_train + 0.5 * (n_types + 1)))[t.place]
-        before = np.full(len(t.words), len(t.distinct))
-        before[1:] = t.place[:-1]
-        before[t.ends - t.counts] = len(t.distinct)
-        ratio = np.minimum(1.0, lower[pair_level][place] / upper[context_level][before])
+        t = Tokens(left, slots)
+        answers = {p[1]: p[2:] for p in map(K.unpack, right.column("payload").to_pylist())}
+        known = np.zeros(len(t.words), np.int64)
+        for slot, at in t.word_parts:
+            known[at] = answers[slot][0]
+        level = np.zeros(len(t.sent.distinct), np.uint8)
+        for slot, at in t.sent.parts:
+            level[at] = answers[slot][1] if broadcast is None else probed(_segments(broadcast, label)[slot], t.sent.distinct[at] >> np.uint64(32))
+        lower = np.concatenate([[0.0], LEVEL_STARTS])[level]
+        upper = np.concatenate([[0.0], LEVEL_STARTS[1:] - 1, LEVEL_STARTS[-1:]])[level]
+        base = ((known + 0.5) / (n_train + 0.5 * (n_types + 1)))[t.word]
+        c1, c2 = upper[t.before_one], np.where(t.before_two < 0, 0.0, upper[t.before_two])
+        n2, n3 = np.minimum(lower[t.pair], c1), np.minimum(lower[t.triple], c2)
         begins = t.ends - t.counts
         total = lambda x: np.add.reduceat(x, begins) if len(begins) else np.zeros(0)
-        each = np.stack([total(np.log10((1 - w) * base + w * ratio)) for w in WEIGHTS])
-        top = each.max(axis=0) if len(begins) else np.zeros(0)
-        score = top + np.log10(np.mean(10.0 ** (each - top), axis=0)) if len(begins) else top
+        each = [total(np.log10(base))]
+        for m2, m3 in PRIORS:
+            two = (n2 + m2 * base) / (c1 + m2)
+            each.append(total(np.log10((n3 + m3 * two) / (c2 + m3))))
+        each = np.stack(each)
+        top = each.max(axis=0)
+        score = top + np.log10(np.mean(10.0 ** (each - top), axis=0))
         ids = pa.array([None if i == K.NULL_ID else i for i in t.ids.tolist()], pa.int64())
-        columns = [ids, pa.array(folds(t.ids, of) == fold), pa.array(t.counts), pa.array(total((known > 0)[t.place].astype(np.int64)).astype(np.int64)), pa.array(np.full(len(t.ids), n_train)), pa.array(each[0]), pa.array(score)]
-        return pa.Table.from_arrays(columns, schema=_SCORES)
+        columns = [ids, pa.array(folds(t.ids, of) == fold), pa.array(t.counts), pa.array(total((known > 0)[t.word].astype(np.int64)).astype(np.int64)), pa.array(np.full(len(t.ids), n_train)), pa.array(each[0]), pa.array(score)]
+        scored = pa.Table.from_arrays(columns, schema=_SCORES)
+        return scored.take(pa.array(np.repeat(np.arange(len(t.ids)), t.times)))
 
     return run
 
 
-def score_texts(docs: DataFrame, fold: int = 1, of: int = 5, max_filter_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def filter_bound(texts: DataFrame) -> int:
+    """Bytes that the filter of these texts can't pass: a key for each occurrence of an n-gram at most."""
+    gaps = F.octet_length("text") - F.octet_length(F.translate("text", " \t\n\x0b\x0c\r", ""))
+    tokens = texts.agg(F.sum(F.coalesce(gaps, F.lit(0)) + 2)).first()[0] or 0
+    return int((3 * tokens + 1) * BITS_PER_KEY / 8) + 1
+
+
+def score_texts(docs: DataFrame, fold: int = 1, of: int = 5, max_filter_bytes: int = MAX_FILTER_BYTES, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """log10 probabilities of all texts under a model of those outside the held-out fold.
 
     Held out: crc32 of the id as text, modulo ``of``, is ``fold``.  Returns per input
     row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    chunks, n = fan_out(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    packed = texts.mapInArrow(K.pack_documents(chunks), K.PACKED).groupBy("slot")
-    counted = packed.applyInArrow(_count(fold, of, n), K.PACKED).groupBy("slot").applyInArrow(_merge(), TABLE)
+    texts = X.select_texts(docs, id_col, text_col)
+    n = X.parts_of(texts, chunk_bytes)
+    resident = filter_bound(texts) > max_filter_bytes
+    packed = X.chunked(texts, n)
+    counted = packed.applyInArrow(_count(fold, of, n), K.PACKED).groupBy("slot").applyInArrow(_merge(resident), TABLE)
     counted = materialise(counted, "counts")
-    shards = counted.filter("kind = 1").groupBy("slot").agg(F.sum("n_tokens"), F.sum("n_types"), F.sum("n_keys")).collect()
-    n_train, n_types = sum(r[1] for r in shards), sum(r[2] for r in shards)
-    groups: list[list[int]] = [[]]
-    room = max_filter_bytes
-    for r in sorted(shards):
-        need = segment_bits(r[3]) // 8
-        if need > room and groups[-1]:
-            groups.append([])
-            room = max_filter_bytes
-        groups[-1].append(r[0])
-        room -= need
-    answers = counted.filter("kind = 0").select("slot", "payload")
-    segments = materialise(counted.filter("kind = 1").select("slot", "payload").mapInArrow(_segment, K.PACKED), "filter")
-    for k, group in enumerate(groups):
-        rows = segments.filter(F.col("slot").isin(group)).collect()
-        filter_ = spark.sparkContext.broadcast(Filter(n, {r[0]: bytes(r[1]) for r in rows}))
-        if k < len(groups) - 1:
-            answers = answers.unionByName(materialise(packed.applyInArrow(_probe(filter_), K.PACKED), "levels"))
-    return packed.cogroup(answers.groupBy("slot")).applyInArrow(_score(filter_, n, n_train, n_types, fold, of), SCORES)
+    shards = counted.filter("kind = 1")
+    n_train, n_types = shards.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
+    filter_ = None
+    if not resident:
+        filter_ = docs.sparkSession.sparkContext.broadcast({r.slot: bytes(r.payload) for r in shards.select("slot", "payload").collect()})
+    answers = counted.filter("kind = 0").select("slot", "payload").groupBy("slot")
+    return packed.cogroup(answers).applyInArrow(_score(filter_, uuid.uuid4().hex, n, n_train, n_types, fold, of), SCORES)
