@@ -2,17 +2,21 @@
 
 Documents are counted by source and exact length.  A source takes all its documents as
 often as its target holds its size, and fits the rest of the budget from the length
-counts: an even share of each length, the longest lengths while much is left, and a
-bounded-knapsack dynamic program over what remains.  Which documents of a length are
-taken follows a seeded hash, so reruns agree.
+counts: first each length its even share, with what rounding leaves carried on from the
+longest to the shortest, up to twice the longest length below the budget; then a bounded
+knapsack over the documents that are left fills the gap exactly, or as nearly as their
+lengths allow.  Which documents of a length are taken follows a seeded hash of id and
+text, so reruns agree.
 
 Only counts by (source, length, salt) are brought together; the salt is a part of the
-hash, so a length that many documents share is ranked in many tasks.
+hash, so a length that many documents share is ranked in ``SALTS`` parts.  A source's
+distinct lengths meet in one task, one row each.
 
 Cases: a null text has length 0 and is never taken; null is a source of its own, the
-last; an empty source's target is 0; rows with the same id are documents each; an
-empty table gives an empty result; other columns pass through and may be called
-anything but the five that are added.
+last; an empty source's target is 0; rows with the same id are documents each, and equal
+rows are told apart by nothing, so it is left open which of them is taken; an empty table
+gives an empty result; other columns pass through, whatever their names, but those called
+like the five that are added, which these replace.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import fan_out, ship_package
+from corpusloom.runtime import ship_package
 
-#: What the dynamic program is left to fit, in words, at most (or the longest length, if more).
-PROGRAM_WORDS = 1 << 15
+#: Parts in which documents of one source and length are ranked.
+SALTS = 1024
+ADDED = ("size", "source_size", "target", "taken", "copies")
 
 
 def word_count(text: Column) -> Column:
@@ -48,20 +53,23 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (3, 1, 2)
     return out
 
 
+def even_share(counts: dict[int, int], budget: int) -> dict[int, int]:
+    """Of each length its share of the budget; what rounding leaves is carried on to the next shorter length."""
+    total, taken, ideal, real = sum(n * c for n, c in counts.items()), {}, 0, 0
+    for n in sorted(counts, reverse=True):
+        ideal += n * counts[n] * budget  # in parts of the total
+        taken[n] = min(counts[n], max(0, (2 * (ideal - real * total) + n * total) // (2 * n * total)))
+        real += n * taken[n]
+    return taken
+
+
 def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each length to take so that lengths sum up to the budget, or just under it."""
     counts = {n: c for n, c in counts.items() if n > 0 and c > 0}
-    total = sum(n * c for n, c in counts.items())
-    if budget >= total:
+    if budget >= sum(n * c for n, c in counts.items()):
         return counts
-    taken = {n: c * budget // total for n, c in counts.items()}
+    taken = even_share(counts, max(0, budget - 2 * max(counts)))
     left = budget - sum(n * c for n, c in taken.items())
-    room = max(PROGRAM_WORDS, 2 * max(counts, default=0))
-    for n in sorted(counts, reverse=True):
-        if left > room:
-            more = min(counts[n] - taken[n], (left - room // 2) // n)
-            taken[n] += more
-            left -= n * more
     # Bit s of a set: sum s can be reached; a length's count in powers of two.
     sets, choices, full = [1], [], (1 << (left + 1)) - 1
     for n in sorted(counts):
@@ -80,12 +88,16 @@ def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
     return taken
 
 
-def _allocate(target: dict[str, tuple[float, int]], most: int):
+ALLOCATED = "source_key string, size long, times long, extra long, source_size long, target double"
+
+
+def _allocate(most: int):
     def run(lengths: pd.DataFrame) -> pd.DataFrame:
-        goal, size = target[lengths["source_key"].iloc[0]]
+        goal, size = lengths["target"].iloc[0], lengths["source_size"].iloc[0]
         times = min(most, int(goal // size)) if size else 0
         rest = fit_budget(dict(zip(lengths["size"].tolist(), lengths["n"].tolist(), strict=True)), int(goal - times * size)) if times < most else {}
-        return pd.DataFrame({"source_key": lengths["source_key"], "size": lengths["size"], "times": times, "extra": [rest.get(n, 0) for n in lengths["size"].tolist()]})
+        out = lengths[["source_key", "size", "source_size", "target"]].assign(times=times)
+        return out.assign(extra=[rest.get(n, 0) for n in lengths["size"].tolist()])[["source_key", "size", "times", "extra", "source_size", "target"]]
 
     return run
 
@@ -93,27 +105,27 @@ def _allocate(target: dict[str, tuple[float, int]], most: int):
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 11) -> DataFrame:
     """All rows with size, source_size, target (the source's), taken (words) and copies.
 
-    The number of sources is taken to be small: their sizes come to the driver.
+    The sources' sizes, one row each, come to the driver.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    salts = fan_out(spark)[0]
-    rows = docs.withColumn("size", word_count(F.col("text")) if "text" in docs.columns else F.col("size"))
-    rows = rows.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    rows = rows.withColumn("salt", F.pmod(F.shiftrightunsigned("draw", 40), F.lit(salts)).cast("int"))
-    salted = rows.groupBy("source_key", "size", "salt").agg(F.count("*").alias("n"))
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    doc_id, source, text = (F.col(own[docs.columns.index(c)]) for c in ("doc_id", "source", "text"))
+    draw = F.xxhash64(F.lit(seed), doc_id, text)
+    rows = docs.toDF(*own).select(*own, word_count(text).alias("size"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("source_key"), draw.alias("draw"))
+    rows = rows.withColumn("salt", F.pmod(F.shiftrightunsigned("draw", 40), F.lit(SALTS)).cast("int"))
+    keys = ["source_key", "size", "salt"]
+    salted = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     sizes = {r[0]: r[1] for r in salted.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n"))).collect()}
     real = {k: None if k == "n" else k[1:] for k in sizes}
     goal = targets({real[k]: v for k, v in sizes.items()}, weights, share, float(most))
-    target = {k: (goal[real[k]], v) for k, v in sizes.items()}
-    lengths = salted.groupBy("source_key", "size").agg(F.sum("n").alias("n"))
-    allocated = lengths.groupBy("source_key").applyInPandas(_allocate(target, most), "source_key string, size long, times long, extra long")
-    before = F.sum("n").over(Window.partitionBy("source_key", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    limits = salted.withColumn("before", F.coalesce(before, F.lit(0))).join(allocated, ["source_key", "size"])
-    limits = limits.select("source_key", "size", "salt", "times", (F.col("extra") - F.col("before")).alias("extra"))
-    rank = F.row_number().over(Window.partitionBy("source_key", "size", "salt").orderBy("draw", "doc_id"))
-    out = rows.join(limits, ["source_key", "size", "salt"]).withColumn("copies", F.col("times") + (rank <= F.col("extra")).cast("long"))
-    lookup = F.create_map(*[x for k, (t, s) in target.items() for x in (F.lit(k), F.struct(F.lit(float(t)).alias("t"), F.lit(int(s)).alias("s")))]) if target else F.lit(None).cast("map<string,struct<t:double,s:bigint>>")
-    kept = [F.col(c) for c in docs.columns if c != "size"]
-    return out.select(*kept, "size", lookup[F.col("source_key")]["s"].alias("source_size"), lookup[F.col("source_key")]["t"].alias("target"), (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    wanted = spark.createDataFrame([(k, int(v), float(goal[real[k]])) for k, v in sizes.items()], "source_key string, source_size long, target double")
+    lengths = salted.groupBy("source_key", "size").agg(F.sum("n").alias("n")).join(wanted, "source_key")
+    allocated = lengths.groupBy("source_key").applyInPandas(_allocate(most), ALLOCATED)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source_key", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    limits = salted.select(*keys, before.alias("before")).join(allocated, ["source_key", "size"])
+    limits = limits.select(*keys, "times", (F.col("extra") - F.col("before")).alias("extra"), "source_size", "target")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("draw", doc_id))
+    out = rows.join(limits, keys).withColumn("copies", F.col("times") + (rank <= F.col("extra")).cast("long"))
+    kept = [F.col(c).alias(name) for c, name in zip(own, docs.columns, strict=True) if name not in ADDED]
+    return out.select(*kept, "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")

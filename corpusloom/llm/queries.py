@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.decontamination import contaminated
 from corpusloom.llm.line_dedup import dedup_lines
-from corpusloom.llm.mixing import mix_sources, word_count
+from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.ngram_lm import score_texts
 from corpusloom.llm.quality import score_quality
 from corpusloom.llm.simhash import simhash_duplicates
@@ -67,8 +67,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
