@@ -127,8 +127,40 @@ def test_tiles():
     for _ in range(60):
         item = [r.randint(0, 6) for _ in range(30)]
         doc = [r.randint(0, 6) for _ in range(20)] + item[15:] + [r.randint(0, 6)] + item[:15]
-        seeds = [(d, i) for d in range(len(doc) - 2) for i in range(len(item) - 2) if doc[d : d + 3] == item[i : i + 3]]
-        assert tiles(np.array(doc), np.array(item), seeds, 3) == brute_tiles(doc, item, 3)
+        assert tiles(np.array(doc), np.array(item), 3) == brute_tiles(doc, item, 3)
+    for doc, item in (([1] * 90 + [2] + [1] * 40, [1] * 50), ([1, 2] * 40, [2, 1] * 9), ([1, 2], [1, 2, 3, 4]), ([], [1, 2, 3])):
+        assert tiles(np.array(doc, np.int64), np.array(item), 3) == brute_tiles(doc, item, 3)
+
+
+def test_tiles_of_repetitive_text():
+    """Places are never paired: a long run of one word against another takes no time."""
+    assert tiles(np.ones(300_000, np.int64), np.ones(5000, np.int64), 5) == [(0, 0, 5000)]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_decontamination_by_brute_force(spark, block_bytes):
+    """The query's pairs and columns against tiling every document with every item."""
+    import re
+
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    r = random.Random(12)
+    pool = ["alpha", "beta", "Gamma", "délta", "x", "y1"]
+    items = [" ".join(r.choice(pool) for _ in range(r.choice([1, 2, 3, 4, 5, 6, 9, 14, 20]))) for _ in range(30)] + [None, "", "?!"]
+    bodies = [" ".join(r.choice(pool) + r.choice(["", ",", ". -"]) for _ in range(r.randint(0, 40))) for _ in range(40)]
+    bodies += [f"{items[k]} zz {items[k + 1]}" for k in range(20)] + [None, "", bodies[0], "alpha " * 2000]
+    ids = [None, *range(1, len(bodies) - 1), 1]
+    expected = []
+    for i, t in zip(ids, bodies):
+        for k, item in enumerate(items):
+            w, it = words(t), words(item)
+            found = brute_tiles(w, it, min(5, len(it))) if it else []
+            n = sum(x[2] for x in found)
+            if n and n >= 0.8 * len(it) and (len(it) >= 5 or n == len(it)):
+                expected.append((-1 if i is None else i, k, round(n / len(it), 9), len(found), n, len(it)))
+    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in zip(ids, bodies)], DOCS)
+    bench = spark.createDataFrame([(k, t, 0.5) for k, t in enumerate(items)], "item_id long, text string, coverage double")
+    got = contaminated(docs, bench, block_bytes=block_bytes).collect()
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.item_id, round(x.coverage, 9), x.n_tiles, x.matched_words, x.item_words) for x in got) == sorted(expected)
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 400])
@@ -150,18 +182,68 @@ def test_decontamination(spark, block_bytes):
     assert contaminated(docs, bench.limit(0)).collect() == [] and remove_contaminated(docs, bench.limit(0)).count() == docs.count()
 
 
+def reachable(counts, taken):
+    sums = {sum(n * c for n, c in taken.items())}
+    for n, c in counts.items():
+        sums = {s + n * k for s in sums for k in range(c - taken[n] + 1)}
+    return sums
+
+
 def test_fit_budget():
     r = random.Random(8)
     for _ in range(100):
         counts = {r.randint(1, 40): r.randint(1, 6) for _ in range(r.randint(1, 8))}
         budget = r.randint(0, sum(n * c for n, c in counts.items()))
         taken = mixing.fit_budget(dict(counts), budget)
-        share = {n: c * budget // sum(a * b for a, b in counts.items()) for n, c in counts.items()}
-        sums = {sum(n * c for n, c in share.items())}
-        for n, c in counts.items():
-            sums = {s + n * k for s in sums for k in range(c - share[n] + 1)}
-        assert all(0 <= taken[n] <= counts[n] for n in counts)
-        assert sum(n * c for n, c in taken.items()) == max(s for s in sums if s <= budget)
+        share = mixing.even_share(counts, max(0, budget - 2 * max(counts)))
+        assert all(0 <= share[n] <= taken[n] <= counts[n] or budget == sum(n * c for n, c in counts.items()) for n in counts)
+        assert sum(n * c for n, c in taken.items()) == max(s for s in reachable(counts, share) if s <= budget)
+
+
+def test_fit_budget_at_every_size():
+    """The mix of lengths is the same for few documents and for many, and the budget is met."""
+    r = random.Random(3)
+    lengths = [r.randint(1, 3000) for _ in range(400)]
+    for scale in (1, 50, 5000):
+        counts = {n: scale * r.randint(1, 9) for n in lengths}
+        total = sum(n * c for n, c in counts.items())
+        budget = total * 37 // 100
+        taken = mixing.fit_budget(dict(counts), budget)
+        assert sum(n * c for n, c in taken.items()) == budget
+        if scale > 1:
+            off = [abs(taken[n] / c - 0.37) for n, c in counts.items()]
+            assert np.mean(off) < 0.02
+
+
+def test_mixing_takes_seeded_documents(spark):
+    """Which rows are taken, against the fit and the hash order; columns of any name."""
+    rows = [(k, "w " * (1 + k % 7 * 3), "a" if k % 3 else "b", k, k, "u") for k in range(400)]
+    names = ["doc_id", "text", "source", "salt", "extra", "draw"]
+    docs = spark.createDataFrame(rows, names)
+    got = mixing.mix_sources(docs).withColumn("h", F.xxhash64(F.lit(11), "doc_id", "text")).collect()
+    assert got[0].__fields__[:9] == [*names, "size", "source_size", "target"]
+    assert {(r.doc_id, r.salt, r.extra, r.draw) for r in got} == {(k, k, k, "u") for k in range(400)}
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        size, goal = own[0].source_size, own[0].target
+        times = int(goal // size)
+        counts = {}
+        for r in own:
+            counts[r["size"]] = counts.get(r["size"], 0) + 1
+        fit = mixing.fit_budget(dict(counts), int(goal - times * size))
+        for n in counts:
+            ranked = sorted((r for r in own if r["size"] == n), key=lambda r: ((r.h % (1 << 64)) >> 40) % mixing.SALTS << 64 | r.h + (1 << 63))
+            assert [r.copies - times for r in ranked] == [1] * fit.get(n, 0) + [0] * (len(ranked) - fit.get(n, 0))
+    clash = docs.withColumn("size", F.lit("mine")).withColumn("c0", F.lit(5)).withColumn("source_key", F.lit(6))
+    again = mixing.mix_sources(clash).collect()
+    assert {r.c0 for r in again} == {5} and {r.source_key for r in again} == {6} and sorted(r["size"] for r in again) == sorted(r["size"] for r in got)
+
+
+def test_mixing_same_id(spark):
+    """Rows of one id and one length but other texts are told apart, so reruns agree."""
+    docs = spark.createDataFrame([(5, f"a{k} b c", "en", "s", 0) for k in range(200)] + [(5, "x", "en", "t", 0)], DOCS)
+    one = sorted((r.text, r.copies) for r in mixing.mix_sources(docs).collect())
+    assert one == sorted((r.text, r.copies) for r in mixing.mix_sources(docs.repartition(7)).collect())
 
 
 def test_mixing(spark):
