@@ -26,8 +26,8 @@ _PACKED_ARROW = pa.schema([("slot", pa.int32()), ("payload", pa.binary())])
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
-_WS = np.zeros(256, bool)
-_WS[[9, 10, 11, 12, 13, 32]] = True
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _LOWER = np.frombuffer(LOWER, np.uint8)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -103,7 +103,7 @@ class Docs:
             hashes[k] = xxhash.xxh3_64_intdigest(self.data[self.offsets[k] : self.offsets[k + 1]])
         return mix(mix(self.ids.view(np.uint64)) + hashes)
 
-    def words(self, space: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, space: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all words, and for each document its first word's index."""
         n = len(self.data)
         solid = ~space[self.data]

@@ -1,8 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
-Words, word pairs, whether a pair repeats its word, and byte 3- to 5-grams are hashed
-to ``BUCKETS`` learned vectors; a document is their mean, a softmax layer on it gives the label.  Training is plain
-stochastic gradient descent in numpy on a bounded sample of labelled documents (the
+Words, word pairs and the 3- to 5-grams of characters within words (with the space on
+either side as their border) are hashed to ``BUCKETS`` learned vectors; a document is
+their mean, a softmax layer on it gives the label.  A pair is hashed by the difference of
+its words' hashes, so pairs of equal words share one vector, whatever the word.  Training
+is plain stochastic gradient descent in numpy on a bounded sample of labelled documents (the
 ``max_train`` with the least id hashes, whole texts).  Since the mean and the layer are
 linear, a trained vector counts only by one number, and scoring is a table lookup for
 each feature, one pass over the texts without any exchange.
@@ -38,24 +40,44 @@ def _inside(edges: np.ndarray, width: int, n: int) -> tuple[np.ndarray, np.ndarr
     return starts, np.maximum(np.minimum(edges[1:] - width + 1, n), starts)
 
 
+def _characters(docs: K.Docs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each character, white space as 32, with a space before, between and after the documents;
+    which are white space; and where each document's characters begin."""
+    data = docs.data
+    first = (data & 0xC0) != 0x80
+    first[docs.offsets[:-1][np.diff(docs.offsets) > 0]] = True
+    starts = np.flatnonzero(first)
+    lengths = np.diff(starts, append=len(data))
+    value = data[starts].astype(np.uint64)
+    for k in range(1, 4):
+        more = lengths > k
+        value[more] |= data[starts[more] + k].astype(np.uint64) << np.uint64(8 * k)
+    begins = np.searchsorted(starts, docs.offsets)
+    space = np.insert(K.WHITE[data[starts]], begins, True)
+    value = np.insert(value, begins, 32)
+    value[space] = 32
+    return value, space, begins + np.arange(len(begins)) + 1
+
+
 def _features(docs: K.Docs) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
     """For each kind of feature: its buckets, and where each document's own begin and end."""
-    rolling = docs.rolling()
     starts, ends, first = docs.words()
-    words = rolling.runs(starts, ends)
-    kinds, bounds = [words], [_inside(first, 1, len(words))]
-    for source, edges, widths in ((K.Rolling(words), first, (2,)), (rolling, docs.offsets, GRAMS)):
-        for width in widths:
-            h = source.every(width)
-            kinds.append(h)
-            bounds.append(_inside(edges, width, len(h)))
-    again = np.zeros(max(len(words) - 1, 0), np.uint64)
-    again[words[1:] == words[:-1]] = np.uint64(1)
-    kinds.append(K.mix(again + np.uint64(1)))
-    bounds.append(_inside(first, 2, len(again)))
+    words = K.word_hashes(docs.data, starts, ends)
+    kinds, bounds = [words, words[1:] - words[:-1]], [_inside(first, 1, len(words)), _inside(first, 2, max(0, len(words) - 1))]
+    value, space, begins = _characters(docs)
+    rolling = K.Rolling(K.mix(value))
+    spaces = np.concatenate([[0], np.cumsum(space)])
+    for width in GRAMS:
+        n = max(0, len(value) - width + 1)
+        inner = spaces[width - 1 : n + width - 1] == spaces[1 : n + 1]  # no space but at the ends
+        kinds.append(rolling.every(width)[inner])
+        number = np.concatenate([[0], np.cumsum(inner)])
+        # From the space before a document to the one after it.
+        low = np.minimum(begins[:-1] - 1, n)
+        bounds.append((number[low], number[np.clip(begins[1:] - width + 1, low, n)]))
     out = []
     for kind, h in enumerate(kinds):
-        out.append(((h >> np.uint64(20 + kind)) % np.uint64(BUCKETS)).astype(np.int64))
+        out.append((K.mix(h + np.uint64(kind + 1)) >> np.uint64(20)).astype(np.int64) % BUCKETS)
     return out, bounds
 
 
@@ -97,7 +119,7 @@ def _sample(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(payloads, pa.binary())], names=["doc_id", "payload"])
 
 
-def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate: float = 0.3, seed: int = 7) -> Model:
+def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, rate: float = 0.3, seed: int = 7) -> Model:
     """Stochastic gradient descent on (buckets, counts, label) examples.
 
     A document's step on its vectors is divided by the squared length of its feature
@@ -112,24 +134,27 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, ra
     vectors = r.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer = r.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.log(np.array([1 - share, share], np.float32))
-    steps, step = epochs * len(examples), 0
+    ready = []
+    for buckets, counts, label in examples:
+        if len(buckets):
+            weight = (counts / counts.sum()).astype(np.float32)
+            ready.append((buckets.astype(np.int64), weight, weight / (weight @ weight), label))
+    steps, step = epochs * len(ready), 0
     for _ in range(epochs):
-        for k in r.permutation(len(examples)):
-            buckets, counts, label = examples[k]
-            now = rate * (1 - step / steps)
+        for k in r.permutation(len(ready)):
+            buckets, weight, pull, label = ready[k]
+            now = np.float32(rate * (1 - step / steps))
             step += 1
-            if not len(buckets):
-                continue
-            weight = counts.astype(np.float32) / counts.sum()
-            hidden = weight @ vectors[buckets]
+            own = vectors[buckets]
+            hidden = weight @ own
             logits = hidden @ layer + bias
             p = np.exp(logits - logits.max())
             p /= p.sum()
             p[label] -= 1
-            back = layer @ p
+            back = now * (layer @ p)
             layer -= now * np.outer(hidden, p)
-            bias -= now * 0.1 * p
-            vectors[buckets] -= np.outer(weight / (weight @ weight), now * back)
+            bias -= now * np.float32(0.1) * p
+            vectors[buckets] = own - np.outer(pull, back)
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
