@@ -104,6 +104,45 @@ def test_topk(spark, block, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(expected)
 
 
+def test_topk_edges(spark):
+    """No rows, vectors of zeros, fewer candidates than k, sums past 2**53, columns of the same names."""
+    schema = "vec_id long, embedding array<double>, score int, cell string"
+    assert top_inner_products(spark.createDataFrame([], schema), F.col("vec_id") % 50 == 0).collect() == []
+    zeros = [(k, [0.0, 0.0], 1, "x") for k in (0, 1, 50)]
+    got = top_inner_products(spark.createDataFrame(zeros, schema), F.col("vec_id") % 50 == 0).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 1, 0)]
+    large = [(k, [float(10**6 + k), float(3 * 10**5 - k * k)], 0, "") for k in range(60)]
+    got = sorted(map(tuple, top_inner_products(spark.createDataFrame(large, schema), F.col("vec_id") % 50 == 0, scale=2.0**8).collect()))
+    whole = {k: [int(256 * x) for x in v] for k, v, *_ in large}
+    expected = []
+    for q in (0, 50):
+        best = sorted((-sum(x * y for x, y in zip(whole[q], v)), k) for k, v in whole.items() if k != q)[:5]
+        expected += [(q, n + 1, k, -s) for n, (s, k) in enumerate(best)]
+    assert got == expected
+    with pytest.raises(Exception, match="64 bits"):
+        top_inner_products(spark.createDataFrame([(k, [1e9, 1e9], 0, "") for k in range(3)], schema), F.col("vec_id") % 50 == 0).collect()
+
+
+def test_topk_eliminates():
+    """Candidates in clumps: the carried score and the stored distances leave most pairs unevaluated."""
+    from corpusloom.llm import topk
+
+    r = np.random.default_rng(2)
+    centres = r.normal(0, 300, (20, 8))
+    vectors = np.floor(np.repeat(centres, 100, axis=0) + r.normal(0, 5, (2000, 8)))
+    ids = np.arange(2000)
+    pivots = topk.far_apart(vectors[::50], topk.PIVOTS)
+    queries = topk.Queries(ids[::50], vectors[::50], pivots, (ids[::7], vectors[::7]), 5)
+    best, table, evaluated = topk.Best(40, 5), topk._distance(vectors, pivots).astype(np.float32), 0
+    for a in range(0, 2000, 400):
+        evaluated += queries.scan(best, ids[a : a + 400], vectors[a : a + 400], table[a : a + 400])
+    for q in range(40):
+        value = vectors @ vectors[50 * q]
+        order = [k for k in np.lexsort((ids, -value)) if k != 50 * q][:5]
+        assert best.ids[q].tolist() == order
+    assert evaluated < 0.3 * 40 * 2000
+
+
 def brute_tiles(doc, item, least):
     free_d, free_i, out = [True] * len(doc), [True] * len(item), []
     while True:
