@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +19,8 @@ from corpusloom.llm.suffix_dedup import dedup_suffixes
 from corpusloom.llm.token_output import read_documents, write_tokens
 from corpusloom.llm.topk import top_inner_products
 
-#: Where the byte-level vocabulary stands; it is the same on all machines.
-TOKENIZER = os.environ.get("CORPUSLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+#: The byte-level vocabulary of op2; a path that is the same on all machines.
+TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,10 +6,11 @@ size, so sequence k is found by division and read from the mapped file without a
 copy.  The mask is false on the padding that ends a shard.  Beside it stands an index
 of its documents (id, first token, number of tokens).
 
-Documents are range-partitioned by id, so shards follow each other; a shard's place
-in the whole stream is the sum of those before it.  Tasks write under names of their
-own through pyarrow's file systems, and only what the committed manifest names counts,
-so lost or repeated tasks leave no wrong data.
+Documents are range-partitioned by id and the start of their text, into as many shards
+as their bytes ask for, so shards follow each other; a shard's place in the whole stream
+is the sum of those before it.  Tasks write under names of their own through pyarrow's
+file systems, and only what the committed manifest names counts, so lost or repeated tasks
+leave no wrong data.
 
 Cases: a null or empty text is its end token; rows with the same id stand next to each
 other in the order of their texts; a null id comes first; an empty table gives no
@@ -33,12 +34,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm import kernels as K
+from corpusloom.llm import exchange as X
 from corpusloom.runtime import shared_dir, ship_package
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 _MANIFEST = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 16 << 20
 #: Sequences in a record batch.
 BATCH_SEQUENCES = 256
 #: Distinct words whose ids a worker remembers at most.
@@ -194,7 +197,7 @@ def _encode(tokenizer: str, folder: str, length: int):
 
         shard = TaskContext.get().partitionId()
         encode = encoder(tokenizer)
-        writer, docs = None, ([], [], [])
+        writer, docs, known = None, (array("q"), array("q"), array("q")), array("b")
         for batch in batches:
             texts = batch.column(1).fill_null("").to_pylist()
             for at in range(0, len(texts), 512):
@@ -205,14 +208,16 @@ def _encode(tokenizer: str, folder: str, length: int):
                     sink = fs.open_output_stream(place + ".arrow")
                     writer = ShardWriter(sink, encode.dtype, length)
                 for i, ids in zip(batch.column(0)[at : at + 512].to_pylist(), encode.batch(texts[at : at + 512]), strict=True):
-                    for column, value in zip(docs, (i, writer.total, len(ids) // np.dtype(encode.dtype).itemsize), strict=True):
+                    known.append(i is not None)
+                    for column, value in zip(docs, (i or 0, writer.total, len(ids) // np.dtype(encode.dtype).itemsize), strict=True):
                         column.append(value)
                     writer.add(ids)
         if writer is not None:
             writer.close()
             sink.close()
             with fs.open_output_stream(place + ".index.arrow") as out, pa.ipc.new_file(out, _INDEX) as index:
-                index.write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in docs], schema=_INDEX), )
+                columns = [pa.array(np.frombuffer(c, np.int64), mask=None if k else np.frombuffer(known, np.int8) == 0) for k, c in enumerate(docs)]
+                index.write_batch(pa.RecordBatch.from_arrays(columns, schema=_INDEX))
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([len(docs[0])], pa.int64()), pa.array([writer.total], pa.int64())], schema=_MANIFEST)
 
     return run
@@ -228,9 +233,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, len
     spark = docs.sparkSession
     ship_package(spark)
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = texts.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    texts = X.select_texts(docs, id_col, text_col)
+    n = X.parts_of(texts, SHARD_BYTES)
+    # Rows of one id, or of none, may be many: the text's first characters divide them in the order of texts.
+    dealt = texts.repartitionByRange(n, "doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(_encode(tokenizer, folder, length), MANIFEST).write.parquet(f"{folder}/manifest")
     shards = sorted(spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").collect())  # one row a shard
     first = np.concatenate([[0], np.cumsum([s.n_tokens for s in shards])]).tolist()
@@ -258,5 +264,4 @@ def _read(batches) -> Iterator[pa.RecordBatch]:
 
 def read_documents(manifest: DataFrame) -> DataFrame:
     """From the files: doc_id, start in the whole stream, n_tokens, ids_crc32 of each document."""
-    n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    return manifest.select("path", "first_token").repartition(n).mapInArrow(_read, DOCUMENTS)
+    return manifest.select("path", "first_token").repartition(max(1, manifest.count())).mapInArrow(_read, DOCUMENTS)
