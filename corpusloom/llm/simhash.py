@@ -25,15 +25,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import exchange as X
 from corpusloom.llm import kernels as K
 from corpusloom.llm.components import connected_components
-from corpusloom.runtime import fan_out, materialise, ship_package
+from corpusloom.runtime import materialise, ship_package
 
 SEED = 42
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("bits", pa.int64())])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Groups up to this size are compared by offset.
 SMALL_GROUP = 256
+#: Fingerprint variants of one slot, about.
+SLOT_ENTRIES = 1 << 19
 
 
 def fingerprint_texts(docs: K.Docs, shingle: int) -> np.ndarray:
@@ -162,10 +165,10 @@ def simhash_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_
     """
     spark = docs.sparkSession
     ship_package(spark)
-    n, _ = fan_out(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = X.select_texts(docs, id_col, text_col)
     prints = materialise(texts.mapInArrow(_fingerprints(shingle), "doc_id long, bits long"), "prints")
     owners = materialise(prints.groupBy("bits").agg(F.min("doc_id").alias("owner")), "owners")
+    n = max(2, -(-owners.count() * len(_variants(distance)) // SLOT_ENTRIES))
     links = owners.mapInArrow(_signatures(distance, n), K.PACKED).groupBy("slot").applyInArrow(_links(distance), "a long, b long")
     roots = connected_components(links)
     classes = owners.join(roots, owners["owner"] == roots["node"], "left").select("bits", F.coalesce("root", "owner").alias("component"))
