@@ -45,7 +45,7 @@ SHARD_BYTES = 16 << 20
 #: Sequences in a record batch.
 BATCH_SEQUENCES = 256
 #: Distinct words whose ids a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: How byte-level BPE vocabularies of this family cut a text before merging; a fixed value.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -83,6 +83,32 @@ class Encoder:
         self.end = np.zeros(1, self.dtype).tobytes()
         self.pieces = _latin1_pieces().findall
         self.known: dict[str, bytes] = {}
+        # Tokens that begin with a space, which byte-level vocabularies write as U+0120.
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.opens[i] = token.startswith("\u0120")
+
+    def learn(self, pieces: list[str]) -> None:
+        """Remember the ids of pieces.
+
+        A space and letters is cut off from the next such piece by the pattern itself, so
+        many of them are encoded as one text, and its tokens that begin with a space tell
+        where each begins.
+        """
+        fast = self.tokenizer.encode_batch_fast
+        plain = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        groups = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
+        rest = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
+        for group, e in zip(groups, fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) != len(group):  # not a vocabulary of this kind after all
+                rest += group
+                continue
+            body, cuts = ids.tobytes(), (cuts * ids.itemsize).tolist()
+            self.known.update(zip(group, [body[a:z] for a, z in zip(cuts, [*cuts[1:], len(body)], strict=True)], strict=True))
+        for piece, e in zip(rest, fast(rest, add_special_tokens=False), strict=True):
+            self.known[piece] = array(self.code, e.ids).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -106,8 +132,7 @@ class Encoder:
             if len(self.known) + len(missing) > REMEMBERED:
                 self.known.clear()
                 missing = list(pieces)
-            for piece, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self.known[piece] = array(self.code, e.ids).tobytes()
+            self.learn(missing)
         ids = self.known.__getitem__
         for k, pieces in cut.items():
             out[k] = b"".join(map(ids, pieces)) + self.end
