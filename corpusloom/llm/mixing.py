@@ -126,6 +126,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     limits = salted.select(*keys, before.alias("before")).join(allocated, ["source_key", "size"])
     limits = limits.select(*keys, "times", (F.col("extra") - F.col("before")).alias("extra"), "source_size", "target")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("draw", doc_id))
-    out = rows.join(limits, keys).withColumn("copies", F.col("times") + (rank <= F.col("extra")).cast("long"))
+    copies = F.when(F.col("size") > 0, F.col("times") + (rank <= F.col("extra")).cast("long")).otherwise(F.lit(0))
+    out = rows.join(limits, keys).withColumn("copies", copies)
     kept = [F.col(c).alias(name) for c, name in zip(own, docs.columns, strict=True) if name not in ADDED]
     return out.select(*kept, "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
