@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import exchange as X
 from corpusloom.llm import kernels as K
 from corpusloom.runtime import ship_package
 
@@ -234,5 +235,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int =
                     at += len(piece)
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = X.map_rows(docs, run)
     return docs

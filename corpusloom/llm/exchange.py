@@ -39,6 +39,12 @@ def chunked(texts: DataFrame, chunks: int):
     return texts.mapInArrow(K.pack_documents(chunks), K.PACKED).groupBy("slot")
 
 
+def map_rows(docs: DataFrame, run) -> DataFrame:
+    """``mapInArrow`` over whole rows that keeps their columns, whatever their names."""
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 class Sent:
     """Distinct hashes of a chunk, by slot: what it sends, and what comes back."""
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import exchange as X
 from corpusloom.llm import kernels as K
 from corpusloom.runtime import ship_package
 
@@ -207,4 +208,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
             parts = [model.value.scores(p) for p in K.pieces(K.from_arrow(batch.column(id_at).cast(pa.int64()), batch.column(text_at)), 1 << 20)]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0), *parts]) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return X.map_rows(docs, run)
