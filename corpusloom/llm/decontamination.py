@@ -209,6 +209,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, cove
     for block in _blocks(benchmark, min_match, block_bytes):
 
         def run(batches, block=block):
+            K.clear()
             real = lambda i: None if i == K.NULL_ID else int(i)
             for batch in batches:
                 for docs in K.pieces(lowered(batch.column(0), batch.column(1))):
@@ -227,6 +228,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int =
     for block in _blocks(benchmark, min_match, block_bytes):
 
         def run(batches, block=block):
+            K.clear()
             for batch in batches:
                 clean, at = np.ones(batch.num_rows, bool), 0
                 for piece in K.pieces(lowered(batch.column(id_at), batch.column(text_at))):

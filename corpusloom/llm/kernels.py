@@ -7,6 +7,7 @@ White space is ``[\\x20\\x09-\\x0D]`` throughout.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Iterable, Iterator
 
@@ -31,6 +32,33 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _LOWER = np.frombuffer(LOWER, np.uint8)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_libc = ctypes.CDLL(None)
+
+
+_held: list = [None, None]
+
+
+def release() -> None:
+    """Give memory that is free back to the system; a worker lives on through other operators' tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def held(key, make):
+    """The one costly thing that a worker keeps between tasks; it goes when another is asked for."""
+    if _held[0] != key:
+        clear()
+        _held[:] = [key, make()]
+    return _held[1]
+
+
+def clear() -> None:
+    """Let go of what other operators have kept."""
+    if _held[0] is not None:
+        _held[:] = [None, None]
+        release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,14 +75,17 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least ``n`` of each."""
-    if len(_powers[0]) < n:
-        size = -(-n // (1 << 18)) << 18
-        for k, base in enumerate((_R, _R_INV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse, at least ``n`` of each; those for very long runs are not kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size, out = -(-n // (1 << 18)) << 18, []
+    for base in (_R, _R_INV):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    if size <= 1 << 22:
+        _powers[:] = out
+    return out[0], out[1]
 
 
 class Rolling:
@@ -203,6 +234,7 @@ def packed_rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def packed_table(rows: list[tuple[int, bytes]]) -> pa.Table:
+    release()
     return pa.Table.from_batches([packed_rows(rows)])
 
 
@@ -221,6 +253,7 @@ def pack_documents(chunks: int):
     """For mapInArrow: deals whole texts out to chunks by id and text; a batch's equal rows go once, with their number."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear()
         for docs in documents(batches, 4 * BATCH_BYTES):
             keys, first, times = np.unique(docs.row_keys(), return_index=True, return_counts=True)
             docs = docs.take(first)
@@ -235,6 +268,7 @@ def pack_documents(chunks: int):
 
 def unpack_documents(table: pa.Table) -> tuple[Docs, np.ndarray]:
     """A chunk's distinct documents, by id and key, always in the same order, and how often each occurs."""
+    release()
     parts = [unpack(x) for x in table.column("payload").to_pylist()]
     if not parts:
         return Docs(np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64)), np.zeros(0, np.int64)

@@ -183,17 +183,11 @@ def _dropped(lines: Lines, late: np.ndarray) -> dict[int, set[int]]:
     return drop
 
 
-#: The shards that this worker has opened, of one query at a time.
-_opened: dict[str, dict[int, Shard]] = {}
-
-
 def _probe(broadcast, label: str, min_chars: int, shards: int):
     """Documents against the arrays that every worker has."""
 
     def run(batches):
-        if label not in _opened:
-            _opened.clear()
-        opened = _opened.setdefault(label, {})
+        opened: dict[int, Shard] = K.held(label, dict)
         for docs in K.documents(batches, 4 * K.BATCH_BYTES):
             lines = Lines(docs, min_chars)
             owner = np.empty(len(lines.distinct), np.int64)

@@ -178,15 +178,8 @@ def _merge(resident: bool):
     return run
 
 
-#: The filter that this worker has, of one query at a time.
-_held: dict[str, dict[int, np.ndarray]] = {}
-
-
 def _segments(broadcast, label: str) -> dict[int, np.ndarray]:
-    if label not in _held:
-        _held.clear()
-        _held[label] = {slot: np.frombuffer(field, np.uint8) for slot, field in broadcast.value.items()}
-    return _held[label]
+    return K.held(label, lambda: {slot: np.frombuffer(field, np.uint8) for slot, field in broadcast.value.items()})
 
 
 def _score(broadcast, label: str, slots: int, n_train: int, n_types: int, fold: int, of: int):

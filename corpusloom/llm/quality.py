@@ -111,6 +111,7 @@ def single(docs: K.Docs):
 
 
 def _sample(batches):
+    K.clear()
     for docs in K.documents(batches):
         ids, payloads = [], []
         for one in single(docs):
@@ -182,6 +183,7 @@ SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 def _score(broadcast):
     def run(batches):
+        K.clear()
         for docs in K.documents(batches, 1 << 20):
             score = broadcast.value.scores(docs)
             ids = pa.array([None if i == K.NULL_ID else i for i in docs.ids.tolist()], pa.int64())
@@ -204,6 +206,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches):
+        K.clear()
         for batch in batches:
             parts = [model.value.scores(p) for p in K.pieces(K.from_arrow(batch.column(id_at).cast(pa.int64()), batch.column(text_at)), 1 << 20)]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0), *parts]) >= threshold))

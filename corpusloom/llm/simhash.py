@@ -68,6 +68,7 @@ def fingerprint_texts(docs: K.Docs, shingle: int) -> np.ndarray:
 
 def _fingerprints(shingle: int):
     def run(batches):
+        K.clear()
         for docs in K.documents(batches, 1 << 20):
             yield pa.RecordBatch.from_arrays([pa.array(docs.ids), pa.array(fingerprint_texts(docs, shingle).view(np.int64))], schema=_PRINTS)
 

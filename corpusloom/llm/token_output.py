@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import exchange as X
+from corpusloom.llm import kernels as K
 from corpusloom.runtime import shared_dir, ship_package
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
@@ -45,7 +46,7 @@ SHARD_BYTES = 16 << 20
 #: Sequences in a record batch.
 BATCH_SEQUENCES = 256
 #: Distinct words whose ids a worker remembers at most.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 #: How byte-level BPE vocabularies of this family cut a text before merging; a fixed value.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -139,13 +140,8 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return K.held(("encoder", path), lambda: Encoder(path))
 
 
 def _schema(dtype, length: int) -> pa.Schema:
@@ -240,6 +236,7 @@ def _encode(tokenizer: str, folder: str, length: int):
         if writer is not None:
             writer.close()
             sink.close()
+            K.release()
             with fs.open_output_stream(place + ".index.arrow") as out, pa.ipc.new_file(out, _INDEX) as index:
                 columns = [pa.array(np.frombuffer(c, np.int64), mask=None if k else np.frombuffer(known, np.int8) == 0) for k, c in enumerate(docs)]
                 index.write_batch(pa.RecordBatch.from_arrays(columns, schema=_INDEX))
