@@ -139,12 +139,17 @@ def strip_citations(c: Column, sources: Column) -> Column:
     second = replace_each(first, NARRATIVE, lambda m: F.when(outside(m), m))
     gone = F.size(F.filter(_all(c, PARENTHETICAL), lambda m: ~inside(m))) + F.size(F.filter(_all(first, NARRATIVE), lambda m: ~outside(m)))
     tidy = second
-    for pattern, new in ((r"\(\s*\)", ""), (r"[ \t]{2,}", " "), (r"\s+([.,;:])", "$1"), (r"([.,;:])(?:\s*\1)+", "$1")):
+    for pattern, new in TIDY_UP:
         tidy = F.regexp_replace(tidy, pattern, new)
     tidy = _strip(replace_each(tidy, r"(?:^|[.!?]\s+)[a-z]", F.upper))
     return F.struct(F.when(gone > 0, tidy).otherwise(second).alias("answer"), gone.alias("removed"))
 
 
+def has_citation(c: Column) -> Column:
+    """Whether an answer cites in either form."""
+    return F.coalesce(c.rlike(PARENTHETICAL) | c.rlike(NARRATIVE), F.lit(False))
+
+
 def citation_scores(answer: Column, papers: Column) -> Column:
     """M8: precision, recall and F1 of cited surnames against the papers' joined text."""
     cited = F.array_distinct(F.concat(*[_all(answer, p, 1) for p in CITED]))
@@ -178,15 +183,6 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.transform(F.slice(tokens, F.lit(1), count), lambda t, k: F.array_join(F.slice(tokens, k + 1, F.lit(n)), " "))
 
 
-def _ratio(common: Column, a: Column, b: Column) -> Column:
-    return F.when(common > 0, 2 * common.cast("double") / (F.size(a) + F.size(b))).otherwise(F.lit(0.0))
-
-
-def _overlap(a: Column, b: Column) -> Column:
-    count = lambda x, t: F.size(F.filter(x, lambda y: y == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t)))
-
-
 def _pairwise(measure: Callable[[list, list], int]):
     @F.pandas_udf("int")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -221,11 +217,10 @@ def common_run(a: list, b: list) -> int:
     return best
 
 
-def rouge(answer: Column, gold: Column) -> Column:
-    """F1 of ROUGE-1, ROUGE-2 and ROUGE-L."""
-    a, b = rouge_tokens(answer), rouge_tokens(gold)
-    two = [ngrams(x, 2) for x in (a, b)]
-    return F.struct(_ratio(_overlap(a, b), a, b).alias("rouge1"), _ratio(_overlap(*two), *two).alias("rouge2"), _ratio(_pairwise(common_subsequence)(a, b), a, b).alias("rougeL"))
+def rouge_l(answer: Column, gold: Column) -> Column:
+    """F1 of the longest common subsequence of two token arrays; ROUGE-1 and -2 are ``evaluation.multiset_f1`` of tokens and ``ngrams``."""
+    size = F.size(answer) + F.size(gold)
+    return F.when(size > 0, 2 * _pairwise(common_subsequence)(answer, gold) / size).otherwise(F.lit(0.0))
 
 
 def coverage(evidence: Column, chunk: Column) -> Column:

@@ -6,7 +6,7 @@ import random
 from statistics import fmean
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges of scores that are ranked apart.
@@ -33,6 +33,21 @@ def ranking_metrics(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...] =
     return out.select("query_id", *columns)
 
 
+def multiset_f1(pairs: DataFrame, keys: list[str], **measures: tuple[Column, Column]) -> DataFrame:
+    """By name, the F1 of two token arrays as multisets; ``keys`` tell the rows apart.
+
+    Rows are dealt out by their keys once; each token of a row is counted on either side.
+    """
+    none = F.array().cast("array<string>")
+    side = lambda name, c, b: F.transform(F.coalesce(c, none), lambda t: F.struct(F.lit(name).alias("measure"), t.alias("token"), F.lit(b).alias("b")))
+    both = F.concat(*[side(name, c, b) for name, columns in measures.items() for b, c in enumerate(columns)])
+    each = pairs.select(*keys, both.alias("tokens")).repartition(*keys).select(*keys, F.explode_outer("tokens").alias("x"))
+    counts = each.groupBy(*keys, "x.measure", "x.token").agg(F.count_if(F.col("x.b") == 0).alias("a"), F.count_if(F.col("x.b") == 1).alias("b"))
+    own = lambda name, c: F.sum(F.when(F.col("measure") == name, c))
+    f1 = lambda name: F.coalesce(2 * own(name, F.least("a", "b")) / own(name, F.col("a") + F.col("b")), F.lit(0.0))
+    return counts.groupBy(*keys).agg(*[f1(name).alias(name) for name in measures])
+
+
 def roc_auc(scored: DataFrame) -> DataFrame:
     """A15 on (label, score): share of pairs in order, ties a half; null when a class is missing.
 
@@ -58,6 +73,13 @@ def threshold_sweep(scored: DataFrame) -> DataFrame:
     return sums.select("percent", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"), kept.alias("supported_kept"), ((r + kept) / 2).alias("balanced_accuracy"))
 
 
+def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two arms' scores (query_id, a) and (query_id, b) side by side; other questions on either side are an error."""
+    both = a.join(b, "query_id", "full_outer")
+    wrong = F.col("a").isNull() | F.col("b").isNull()
+    return both.select("query_id", *[F.when(wrong, F.raise_error(F.lit("the arms answered different questions")).cast("double")).otherwise(F.col(c)).alias(c) for c in ("a", "b")])
+
+
 def _bootstrap(iterations: int, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("query_id")
@@ -77,9 +99,17 @@ def paired_bootstrap(scores: DataFrame, iterations: int = 10_000, seed: int = 20
     return scores.groupBy("comparison").applyInPandas(_bootstrap(iterations, seed), "comparison string, delta double, ci_low double, ci_high double, p_value double, significant boolean")
 
 
-def upper_median(c: str):
-    """The upper of the two middle values."""
-    return F.element_at(F.sort_array(F.collect_list(c)), (F.floor(F.count(c) / 2) + 1).cast("int"))
+def latency_summary(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Mean and upper median (the upper of two middle values) of each key.
+
+    Equal values are counted first, and a value's rank comes from these counts.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(key)
+    upto = F.sum("n").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.withColumn("upto", upto).withColumn("total", F.sum("n").over(whole))
+    median = F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col(value)))
+    return ranked.groupBy(key).agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"), median.alias("median"))
 
 
 def gate(now: DataFrame, baseline: DataFrame, lower_is_better: tuple[str, ...] = ("claims.supported_flagged",), tolerance: float = 0.02) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import answers as A
 from corpusloom.operators import verification
+from corpusloom.operators.evaluation import multiset_f1
 from corpusloom.plans.content import _MULTI, _PAIR, _pairs
 from corpusloom.streaming import limiter
 
@@ -75,17 +76,15 @@ def cleaned_replies(spark, sf):
     return _t(spark, sf, "conversations").select("conv_id", "turn", F.md5(A.clean_answer(raw).cast("binary")).alias("answer"))
 
 
-def _rouge(spark, sf, *which):
-    scored = _pairs(spark, sf).select("conv_id", "turn", A.rouge(F.col("answer"), F.col("gold")).alias("r"))
-    return scored.select("conv_id", "turn", *[F.round(F.col(f"r.{c}"), 6).alias(c) for c in which])
-
-
 def rouge_ngrams(spark, sf):
-    return _rouge(spark, sf, "rouge1", "rouge2")
+    a, g = A.rouge_tokens(F.col("answer")), A.rouge_tokens(F.col("gold"))
+    pairs = _pairs(spark, sf).select("conv_id", "turn", a.alias("a"), g.alias("g"))
+    scored = multiset_f1(pairs, ["conv_id", "turn"], rouge1=(F.col("a"), F.col("g")), rouge2=(A.ngrams(F.col("a"), 2), A.ngrams(F.col("g"), 2)))
+    return scored.select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in ("rouge1", "rouge2")])
 
 
 def rouge_l(spark, sf):
-    return _rouge(spark, sf, "rougeL")
+    return _pairs(spark, sf).select("conv_id", "turn", F.round(A.rouge_l(A.rouge_tokens(F.col("answer")), A.rouge_tokens(F.col("gold"))), 6).alias("rougeL"))
 
 
 def evidence_coverage(spark, sf):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import chunking, store
-from corpusloom.operators.evaluation import upper_median
+from corpusloom.operators.evaluation import latency_summary as summary
+from corpusloom.operators.evaluation import multiset_f1
 from corpusloom.sources.files import document_id
 
 _t = lambda spark, sf, name: spark.read.parquet(f"{sf}/{name}.parquet")
@@ -83,8 +84,8 @@ def token_overlap_f1(spark, sf):
 
 
 def squad_token_f1(spark, sf):
-    word = lambda c: F.filter(F.split(X.squad_normal(c), " "), lambda w: w != "")
-    return _pairs(spark, sf).select("conv_id", "turn", F.round(X.multiset_f1(word(F.col("answer")), word(F.col("gold"))), 6).alias("f1"))
+    word = lambda c: F.filter(F.split(X.squad_normal(F.col(c)), " "), lambda w: w != "")
+    return multiset_f1(_pairs(spark, sf), ["conv_id", "turn"], f1=(word("answer"), word("gold"))).withColumn("f1", F.round("f1", 6))
 
 
 def conversation_last6(spark, sf):
@@ -101,7 +102,7 @@ def query_stats(spark, sf):
 
 
 def latency_summary(spark, sf):
-    return _t(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), upper_median("value").alias("median"))
+    return summary(_t(spark, sf, "events"), "event_type", "value").withColumn("mean", F.round("mean", 6))
 
 
 def store_stats(spark, sf):
@@ -146,8 +147,10 @@ def citation_authors(spark, sf):
 
 
 def answer_confidence(spark, sf):
-    scored = _t(spark, sf, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("event_id")), lambda i: (i % 11 - 3) / F.lit(4.0)).alias("scores"))
-    return scored.select("user_id", F.round(X.answer_confidence(F.slice("scores", 1, 4), F.repeat(F.lit("x"), (F.col("user_id") % 700).cast("int"))), 6).alias("confidence"))
+    """X40 on each user's four first events; only four an exchange are kept."""
+    first = _t(spark, sf, "events").select("user_id", "event_id").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).filter("n <= 4")
+    scored = first.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("event_id")), lambda i: (i % 11 - 3) / F.lit(4.0)).alias("scores"))
+    return scored.select("user_id", F.round(X.answer_confidence(F.col("scores"), F.repeat(F.lit("x"), (F.col("user_id") % 700).cast("int"))), 6).alias("confidence"))
 
 
 def chunk_documents(spark, sf):
@@ -173,7 +176,16 @@ _VOTES = """v AS (SELECT concat('u', user_id % 20) AS user_id, concat(CASE WHEN
 h AS (SELECT *, sha256(trim(regexp_replace(lower(claim), '\\s+', ' ', 'g'))) AS claim_hash FROM v),
 l AS (SELECT user_id, claim_hash, first(claim ORDER BY ts, event_id) AS claim, last(verdict ORDER BY ts, event_id) AS verdict, last(flagged ORDER BY ts, event_id) AS flagged FROM h GROUP BY ALL)""".replace("\\\\s", "\\s")
 _LINE = "rtrim(concat(repeat(' ', least(4, length(x) - length(ltrim(x, ' ')))::INT), regexp_replace(trim(x, ' '), ' +', ' ', 'g')), ' ')"
-_NORMAL = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'), ' ')"""
+_BARE = r"""regexp_replace(lower(TEXT), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g')"""
+_ARTICLE = r"""regexp_replace(TEXT, '(^|[^\p{L}\p{N}])(a|an|the)($|[^\p{L}\p{N}])', '\1 \3', 'g')"""
+
+
+def _normal(column: str) -> str:
+    """Articles go twice, since two in a row share the space between them."""
+    twice = _ARTICLE.replace("TEXT", _ARTICLE).replace("TEXT", _BARE.replace("TEXT", column))
+    return f"trim(regexp_replace({twice}, '\\s+', ' ', 'g'), ' ')"
+
+
 _MULTI = "(SELECT sum(least(len(list_filter(a, lambda y: y = t)), len(list_filter(g, lambda y: y = t)))) FROM (SELECT unnest(list_distinct(a)) AS t))"
 _AUTHOR = "CASE item_id % 4 WHEN 0 THEN 'Unknown' WHEN 1 THEN '{}' WHEN 2 THEN '{}' ELSE 'Lovelace et al.' END"
 
@@ -191,7 +203,7 @@ FROM (SELECT *, CASE WHEN a IS NULL THEN nullif(regexp_extract(question, '\b(20\
     "query_expansion": f"SELECT question_id, concat_ws('|', CASE WHEN NOT ends_with(question, '?') THEN 'What is ' || question || '?' END, CASE WHEN NOT regexp_matches(lower(question), '^(what|how|why|explain)') THEN 'Explain ' || question END) AS expanded FROM {_Q}",
     "heading_classes": f"SELECT heading, {_HEAD} AS section FROM (VALUES ('1 Introduction'), ('Our Model'), ('Experimental setup'), ('Results'), ('References'), ('Data collection'), ('Prior work'), ('Thanks'), ('Conclusions'), ('Appendix A')) AS t(heading)",
     "token_overlap_f1": rf"SELECT conv_id, turn, round(CASE WHEN c > 0 THEN 2.0 * c / (len(a) + len(g)) ELSE 0 END, 6) AS f1 FROM (SELECT *, len(list_intersect(a, g)) AS c FROM (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(answer), '[ \t\n\r\f\x0B]+'), lambda w: w != '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(gold), '[ \t\n\r\f\x0B]+'), lambda w: w != '')) AS g FROM ({_PAIR})))",
-    "squad_token_f1": f"SELECT conv_id, turn, round(CASE WHEN coalesce(c, 0) > 0 THEN 2.0 * c / (len(a) + len(g)) ELSE 0 END, 6) AS f1 FROM (SELECT *, {_MULTI} AS c FROM (SELECT conv_id, turn, list_filter(string_split({_NORMAL.format('answer')}, ' '), lambda w: w != '') AS a, list_filter(string_split({_NORMAL.format('gold')}, ' '), lambda w: w != '') AS g FROM ({_PAIR})))",
+    "squad_token_f1": f"SELECT conv_id, turn, round(CASE WHEN coalesce(c, 0) > 0 THEN 2.0 * c / (len(a) + len(g)) ELSE 0 END, 6) AS f1 FROM (SELECT *, {_MULTI} AS c FROM (SELECT conv_id, turn, list_filter(string_split({_normal('answer')}, ' '), lambda w: w != '') AS a, list_filter(string_split({_normal('gold')}, ' '), lambda w: w != '') AS g FROM ({_PAIR})))",
     "conversation_last6": "SELECT conv_id, turn, role, length(text)::INT AS size FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6",
     "conversation_context": "SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS context FROM (SELECT *, sum(length(line)) OVER (PARTITION BY conv_id ORDER BY turn) AS size FROM (SELECT conv_id, turn, upper(role[1]) || lower(role[2:]) || ': ' || CASE WHEN length(text) > 500 THEN text[1:500] || '...' ELSE text END AS line FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6)) WHERE size <= 4000 GROUP BY conv_id",
     "query_stats": "SELECT count(*) AS total, round(avg(value / 10), 3) AS avg_seconds, round(avg(value - 20) FILTER (value - 20 > 0), 3) AS avg_confidence, round(avg(event_id % 7), 1) AS avg_results FROM events",
@@ -204,5 +216,5 @@ FROM (SELECT *, CASE WHEN a IS NULL THEN nullif(regexp_extract(question, '\b(20\
     "orphan_check": "SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)",
     "document_ids": "SELECT page_id, 'doc_' || md5(url || '_' || string_split(url, '/')[-1])[1:8] AS document_id FROM pages",
     "citation_authors": f"SELECT item_id, {_AUTHOR.format('Lovelace', 'Lovelace & Turing')} AS short, {_AUTHOR.format('Ada B. Lovelace', 'Ada B. Lovelace & Alan Turing')} AS long FROM benchmark",
-    "answer_confidence": "SELECT user_id, round(greatest(0, least(1, 0.5 * list_avg(list_transform(s, lambda x: CASE WHEN x >= 0 AND x <= 1 THEN x ELSE 1 / (1 + exp(-x)) END)) + 0.3 * least(len(s) / 3.0, 1) + 0.2 * least(user_id % 700 / 500.0, 1))), 6) AS confidence FROM (SELECT user_id, list_slice(list_transform(list_sort(list(event_id)), lambda i: (i % 11 - 3) / 4.0), 1, 4) AS s FROM events GROUP BY user_id)",
+    "answer_confidence": "SELECT user_id, round(CASE WHEN user_id % 700 = 0 THEN 0 ELSE greatest(0, least(1, 0.5 * list_avg(list_transform(s, lambda x: CASE WHEN x >= 0 AND x <= 1 THEN x ELSE 1 / (1 + exp(-x)) END)) + 0.3 * least(len(s) / 3.0, 1) + 0.2 * CASE WHEN user_id % 700 < 50 THEN 0.3 WHEN user_id % 700 < 200 THEN 0.7 ELSE 1.0 END)) END, 6) AS confidence FROM (SELECT user_id, list_slice(list_transform(list_sort(list(event_id)), lambda i: (i % 11 - 3) / 4.0), 1, 4) AS s FROM events GROUP BY user_id)",
 }

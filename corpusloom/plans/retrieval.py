@@ -47,8 +47,8 @@ def _vector(spark, sf, **options):
 
 
 def bm25_corpus_stats(spark, sf):
-    stats, terms = R.corpus_stats(_chunks(spark, sf)), R.idf(_chunks(spark, sf)).agg(F.count("*").alias("vocabulary"))
-    return stats.crossJoin(terms).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "vocabulary")
+    index = R.bm25_index(_chunks(spark, sf))
+    return index.terms.agg(F.lit(index.n_docs).cast("long").alias("n_docs"), F.round(F.lit(index.avgdl), 6).alias("avgdl"), F.count("*").alias("vocabulary"))
 
 
 def bm25_idf(spark, sf):
@@ -79,9 +79,16 @@ def vector_euclidean(spark, sf):
     return _hits(_vector(spark, sf, metric="euclidean"))
 
 
+def _ranked(spark, sf, keep: tuple[str, ...], *arms: tuple[dict | None, int]):
+    """Several cuts of one scoring."""
+    chunks = _chunks(spark, sf)
+    scored = R.bm25_scores(_asked(spark, sf), chunks, R.bm25_index(chunks), keep)
+    return [R.cut(apply_filters(scored, filters), k) for filters, k in arms]
+
+
 def _sides(spark, sf):
-    """A second ranking of the same chunks for fusion: English ones by BM25 with another filter."""
-    return _bm25(spark, sf, {"lang": "en"}, 20), _bm25(spark, sf, {"n_chars": {"$gte": 1000}}, 20)
+    """Two rankings of the same chunks for fusion: English ones and long ones."""
+    return _ranked(spark, sf, ("lang", "n_chars"), ({"lang": "en"}, 20), ({"n_chars": {"$gte": 1000}}, 20))
 
 
 def rrf_fusion(spark, sf):
@@ -89,8 +96,8 @@ def rrf_fusion(spark, sf):
 
 
 def widened_search(spark, sf):
-    narrow = _bm25(spark, sf, {"source": "src1", "lang": ["de", "fr"]})
-    return R.widen(narrow, _bm25(spark, sf), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "block", "rank")
+    narrow, wide = _ranked(spark, sf, ("source", "lang"), ({"source": "src1", "lang": ["de", "fr"]}, 10), (None, 10))
+    return R.widen(narrow, wide, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "block", "rank")
 
 
 def rerank_change(spark, sf):
@@ -179,8 +186,10 @@ def threshold_sweep(spark, sf):
 
 
 def paired_bootstrap(spark, sf):
-    a, b = (E.ranking_metrics(h, ground_evidence(spark, sf).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"))).select("query_id", F.col("ndcg10").alias(n)) for n, h in (("a", _bm25(spark, sf, {"lang": "en"})), ("b", _bm25(spark, sf))))
-    return E.paired_bootstrap(a.join(b, "query_id").withColumn("comparison", F.lit("english -> all")), iterations=2000)
+    truth = ground_evidence(spark, sf).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"))
+    arms = _ranked(spark, sf, ("lang",), ({"lang": "en"}, 10), (None, 10))
+    a, b = (E.ranking_metrics(h, truth).select("query_id", F.col("ndcg10").alias(n)) for n, h in zip("ab", arms, strict=True))
+    return E.paired_bootstrap(E.aligned(a, b).withColumn("comparison", F.lit("english -> all")))
 
 
 def training_pairs(spark, sf):
@@ -212,10 +221,11 @@ TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 _BM25 = rf"""
 tok AS (SELECT doc_id AS chunk_id, lang, source, n_chars, unnest({TOKENS}) AS term FROM documents),
 dl AS (SELECT doc_id AS chunk_id, len({TOKENS}) AS dl FROM documents),
-st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-tf AS (SELECT chunk_id, lang, source, n_chars, term, count(*) AS tf FROM tok GROUP BY ALL),
-raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+st AS MATERIALIZED (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+tf AS MATERIALIZED (SELECT chunk_id, lang, source, n_chars, term, count(*) AS tf FROM tok GROUP BY ALL),
+raw AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY term),
+mi AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, mi),
 q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL),
 scored AS (SELECT query_id, chunk_id, any_value(lang) AS lang, any_value(source) AS source, any_value(n_chars) AS n_chars, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN idf USING (term) JOIN tf USING (term) JOIN dl USING (chunk_id), st GROUP BY query_id, chunk_id HAVING sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) > 0)"""
 

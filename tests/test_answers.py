@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import answers as A
+from corpusloom.operators.evaluation import multiset_f1
 from corpusloom.functions import papers as P
 from corpusloom.operators import verification
 from corpusloom.streaming import ingest, limiter
@@ -56,7 +57,11 @@ def test_overlaps(spark):
         assert A.common_run(a, b) == difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match(0, len(a), 0, len(b)).size
     words = lambda t: F.split(F.lit(t), " ")
     assert tuple(one(spark, A.coverage(words("a b c d e f"), words("x b c d e")))) == (pytest.approx(4 / 6), pytest.approx(4 / 5))
-    assert tuple(one(spark, A.rouge(F.lit("the cat sat"), F.lit("the cat ran off")))) == (pytest.approx(4 / 7), pytest.approx(2 / 5), pytest.approx(4 / 7))
+    a, g = (A.rouge_tokens(F.col(c)) for c in ("a", "g"))
+    pairs = spark.createDataFrame([(1, "the cat sat", "the cat ran off"), (2, "", None), (3, "x x x", "x x")], "k int, a string, g string")
+    scored = {r.k: tuple(r)[1:] for r in multiset_f1(pairs, ["k"], one=(a, g), two=(A.ngrams(a, 2), A.ngrams(g, 2))).collect()}
+    assert scored == {1: (pytest.approx(4 / 7), pytest.approx(2 / 5)), 2: (0.0, 0.0), 3: (pytest.approx(4 / 5), pytest.approx(2 / 3))}
+    assert one(spark, A.rouge_l(A.rouge_tokens(F.lit("the cat sat")), A.rouge_tokens(F.lit("the cat ran off")))) == pytest.approx(4 / 7)
     assert one(spark, A.clean_answer(F.lit('<think>a\nb</think>"Answer: Unanswerable here"'))) == "Unanswerable" and one(spark, A.clean_answer(F.lit(None).cast("string"))) == ""
 
 

@@ -22,7 +22,7 @@ def duck():
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5) + 0.0
+        return None if math.isnan(v) else round(v, 9) + 0.0
     return str(v) if v is not None and not isinstance(v, (int, str)) else v
 
 
