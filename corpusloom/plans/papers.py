@@ -25,12 +25,12 @@ def paper_facts(spark, sf):
 
 
 def paper_structure(spark, sf):
-    return _papers(spark, sf).withColumn("s", P.structure(F.col("text"))).select("doc_id", "s.title", F.array_join("s.authors", "|").alias("authors"), F.size("s.sections").alias("n_sections"), F.array_join(F.transform("s.sections", lambda x: x["kind"]), "|").alias("kinds"))
+    return P.with_structure(_papers(spark, sf)).select("doc_id", "s.title", F.array_join("s.authors", "|").alias("authors"), F.size("s.sections").alias("n_sections"), F.array_join(F.transform("s.sections", lambda x: x["kind"]), "|").alias("kinds"))
 
 
 def paper_confidence(spark, sf):
     c = F.col("text")
-    facts = _papers(spark, sf).withColumn("s", P.structure(c)).withColumn("n_sections", F.size("s.sections")).withColumn("refs", P.reference_count(c))
+    facts = P.with_structure(_papers(spark, sf)).withColumn("n_sections", F.size("s.sections")).withColumn("refs", P.reference_count(c))
     dated = P.year(c, YEAR_NOW).isNotNull() & venue(c).isNotNull()
     return facts.select("doc_id", F.round(P.confidence(P.abstract(c).isNotNull(), F.col("n_sections"), F.col("refs"), F.col("s.title").isNotNull(), F.size("s.authors"), P.citation_count(c), dated), 2).alias("confidence"), P.paper_type(P.arxiv_id(c), venue(c), F.col("n_sections"), F.col("refs")).alias("paper_type"))
 

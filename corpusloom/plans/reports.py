@@ -66,7 +66,7 @@ def perturbed_numbers(spark, sf):
 
 def enriched_chunks(spark, sf):
     c = F.col("text")
-    papers = _papers(spark, sf).withColumn("s", P.structure(c))
+    papers = P.with_structure(_papers(spark, sf))
     facts = papers.select(
         F.col("doc_id").cast("string").alias("document_id"), P.abstract(c).alias("abstract"), "s.sections", "s.title", "s.authors",
         F.lit("ICML").alias("venue"), F.lit(2020).alias("year"), P.doi(c).alias("doi"), P.arxiv_id(c).alias("arxiv_id"), F.lit("journal").alias("paper_type"),

@@ -107,13 +107,22 @@ def test_ingest(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
-def test_papers():
+def test_papers(spark):
+    def told(text):
+        return P.with_structure(spark.createDataFrame([(text,)], "text string")).first().s
+
     text = "RESEARCH\nOpen Access\nA Very Long Title About\nGraph Walks\nAda B. Lovelace1*, Jan van der Berg2 and O'Neil Smith3\n1 LIS Labs, Hassan University\n\nAbstract\nwe did"
-    assert P.find_title(text) == "A Very Long Title About Graph Walks"
-    assert P.find_authors(text, P.find_title(text)) == ["Ada B. Lovelace", "Jan van der Berg", "O'Neil Smith"]
-    assert P.find_authors("# A Title of Some Length\n\nJane Doe\n\n## Abstract", "A Title of Some Length") == []
-    assert P.find_authors("# A Title of Some Length\n\nJane Doe\njd@x.org\n\n## Abstract", "A Title of Some Length") == ["Jane Doe"]
-    got = P.find_sections("# Neural Model\n\n## 3.1 Results\n$x$ ![f](y)\n\n# Thanks\n|a|b|", "Neural model")
-    assert [s[2:] for s in got] == [(1, "Neural Model", "other", False, False, False), (2, "Results", "results", True, False, True), (1, "Thanks", "other", False, True, False)]
-    assert [(s[3], s[4]) for s in P.find_sections("Introduction\nx\n\n3.2 Reward design\nx\n\nTable 2\n\nIntroduction\n\nA sentence.")] == [("Introduction", "introduction"), ("Reward design", "other")]
-    assert P.find_title("") is None and P.find_sections("") == []
+    got = told(text)
+    assert got.title == "A Very Long Title About Graph Walks"
+    assert got.authors == ["Ada B. Lovelace", "Jan van der Berg", "O'Neil Smith"]
+    assert told("# A Title of Some Length\n\nJane Doe\n\n## Abstract").authors == []
+    assert told("# A Title of Some Length\n\nJane Doe\njd@x.org\n\n## Abstract").authors == ["Jane Doe"]
+    text = "# Neural Model Walks\n\n## 3.1 Results\n$x$ ![f](y)\n\n# Thanks\n|a|b|"
+    got = told(text).sections
+    assert [tuple(s)[2:] for s in got] == [(1, "Neural Model Walks", "other", False, False, False), (2, "Results", "results", True, False, True), (1, "Thanks", "other", False, True, False)]
+    assert [(s.start, s.end) for s in got] == [(0, 22), (22, 50), (50, len(text))]
+    lone = "Introduction\nx\n\n3.2 Reward design\nx\n\nTable 2\n\nIntroduction\n\nA sentence."
+    assert [(s.start, s.title, s.kind) for s in told(lone).sections] == [(0, "Introduction", "introduction"), (16, "Reward design", "other")]
+    assert tuple(told("")) == tuple(told(None)) == (None, [], [])
+    short = "Two Words\n\nA Longer Heading That Counts\n\nfoo@bar.org"
+    assert told(short).title == "A Longer Heading That Counts" and told("Word One\nhttp://x.y").title is None
