@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -27,32 +30,43 @@ def ship_package(spark: SparkSession) -> None:
     sc._corpusloom_shipped = sc.applicationId
 
 
+_written: list[tuple[object, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (as in
-    local tests) a local folder is chosen and set.
+    It is the session's ``spark.checkpoint.dir``.  Only where that is unset and everything
+    runs in one process (as in local tests) a local folder is chosen, set, and removed at the end.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        where = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
+
+    What is written stays until ``release_tables``, since results are read from it later.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fan_out(spark: SparkSession) -> tuple[int, int]:
-    """Slots for hashes and chunks for documents in keyed exchanges.
-
-    Both follow the shuffle partitions; every slot may answer every chunk, so the
-    number of messages is their product.
-    """
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    return 2 * n, n
+def release_tables(spark: SparkSession) -> int:
+    """Delete what this session has materialised; results that were made from it must have been written or collected."""
+    own = [path for session, path in _written if session is spark]
+    for path in own:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _written[:] = [x for x in _written if x[0] is not spark]
+    return len(own)
