@@ -20,9 +20,11 @@ MARKDOWN = r"^\s*(#+\s*|[-*]\s+|\d+[.)]\s+|>\s*)"
 BOLD_LINE = r"^\*\*[^*]+\*\*:?\s*$"
 BOLD_LABEL = r"^\*\*[^*]{1,60}?:\*\*\s*|^\*\*[^*]{1,60}?\*\*:\s*"
 SOURCES = r"(?i)^(\*\*)?(sources|references|citations)(\*\*)?:?\s*$"
-CLAIM_STOP = "a an and are as at be by for from has have in is it its of on or that the their they this to was were which with we our not".split()
-QUERY_STOP = "what how did does is are was were the a an in on at to for of and or but with from by about which that this it do can you we they their its has have had".split()
-KEY_STOP = "a an the of for and in on to with".split()
+CLAIM_STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the", "their", "they", "this", "to", "was", "were", "which", "with", "we", "our", "not"]
+QUERY_STOP = ["what", "how", "did", "does", "is", "are", "was", "were", "the", "a", "an", "in", "on", "at", "to", "for", "of", "and", "or", "but", "with", "from", "by", "about", "which", "that", "this", "it", "do", "can", "you", "we", "they", "its", "their", "has", "have", "had"]
+KEY_STOP = ["a", "an", "the", "of", "for", "and", "in", "on", "to", "with"]
+# What is tidied up where citations went, in this order.
+TIDY_UP = [(r"\(\s*\)", ""), (r"[ \t]{2,}", " "), (r"\s+([.,;:])", "$1"), (r"([.,;:])(?:\s*\1)+", "$1")]
 PARENTHETICAL = r"\(\s*[A-Z][^()]{0,120}?\b(?:\d{4}|n\.d\.)[^()]{0,60}?\)"
 NARRATIVE = r"(?:\b(?:According to|As reported (?:by|in)|As shown (?:by|in)|As described (?:by|in)|Per|Following)\s+)?\b([A-Z][A-Za-z\-']+)(?:\s+(?:et\s+al\.?|and\s+[A-Z][A-Za-z\-']+))?\s*\(\s*(\d{4}|n\.d\.)[^()]{0,60}?\),?\s*"
 CITED = [r"\(([A-Z][a-z]+)\s+et\s+al\.\s*,\s*\d{4}", r"\(([A-Z][a-z]+)\s*&\s*[A-Z][a-z]+\s*,\s*\d{4}", r"\(([A-Z][a-z]+)\s*,\s*\d{4}"]

@@ -45,8 +45,8 @@ def model_registry(models: dict[str, Model]) -> Callable[[str], Model]:
 
 def first_sentences(prompt: Column, system: Column) -> Column:
     """A stand-in for a language model: the first sentence of the first source, with its citation."""
-    cite = F.regexp_extract(prompt, r"Cite this source as: (\([^\n]*\))", 1)
-    text = F.regexp_extract(prompt, r"(?:\nCite this source as: [^\n]*|\[Source 1\][^\n]*)\n([^\n]+)", 1)
+    cite = F.regexp_extract(prompt, r"\[Source 1\][^\n]*\nCite this source as: (\([^\n]*\))", 1)
+    text = F.regexp_extract(prompt, r"\[Source 1\][^\n]*\n(?:Cite this source as: [^\n]*\n)?([^\n]+)", 1)
     first = F.regexp_extract(text, r"^(.{1,300}?[.!?])(?:\s|$)|^(.{1,300})", 0)
     return F.when(first != "", F.trim(F.concat_ws(" ", F.trim(first), F.when(cite != "", cite))))
 

@@ -86,5 +86,5 @@ def other_evidence(claims: DataFrame, seed: int = 7) -> DataFrame:
     """For each claim (paper_id, question_id, evidence) another question of its paper with no evidence in common, drawn by hash."""
     other = claims.select("paper_id", F.col("question_id").alias("other_id"), F.col("evidence").alias("other"))
     pairs = claims.join(other, "paper_id").filter((F.col("question_id") != F.col("other_id")) & ~F.arrays_overlap("evidence", "other"))
-    drawn = pairs.groupBy("paper_id", "question_id").agg(F.min_by(F.struct("other_id", "other"), F.struct(F.xxhash64(F.lit(seed), "question_id", "other_id"), F.col("other_id"))).alias("o"))
+    drawn = pairs.groupBy("paper_id", "question_id").agg(F.min_by(F.struct("other_id", "other"), F.struct(F.md5(F.concat_ws("|", F.lit(seed), "question_id", "other_id").cast("binary")), F.col("other_id"))).alias("o"))
     return drawn.select("paper_id", "question_id", "o.other_id", F.col("o.other").alias("other_evidence"))

@@ -40,13 +40,11 @@ class Embedder:
         encode = self.encode
 
         def run(texts: pd.Series) -> pd.Series:
-            real = texts.fillna("").str.strip() != ""
-            out = pd.Series([blank] * len(texts), index=texts.index, dtype=object)
-            if real.any():
-                rows = np.asarray(encode([prefix + t for t in texts[real]]), np.float64)
-                norms = np.linalg.norm(rows, axis=1, keepdims=True)
-                out[real] = [r.tolist() for r in (rows / np.where(norms > 0, norms, 1)).astype(np.float32)]
-            return out
+            real = [prefix + t for t in texts.fillna("") if t.strip()]
+            rows = np.asarray(encode(real), np.float64) if real else np.zeros((0, 1))
+            norms = np.linalg.norm(rows, axis=1, keepdims=True)
+            units = iter((rows / np.where(norms > 0, norms, 1)).astype(np.float32).tolist())
+            return pd.Series([next(units) if t.strip() else blank for t in texts.fillna("")], dtype=object)
 
         return F.pandas_udf(run, "array<float>")
 

@@ -130,4 +130,9 @@ SELECT conv_id, turn, round(max(CASE WHEN n = 1 THEN f END), 6) AS rouge1, round
     "rate_limited": """WITH RECURSIVE e AS (SELECT user_id, epoch(ts)::BIGINT AS ts FROM events), w AS (SELECT user_id, min(ts) AS start FROM e GROUP BY user_id UNION ALL SELECT e.user_id, min(e.ts) FROM w JOIN e ON e.user_id = w.user_id AND e.ts >= w.start + 86400 GROUP BY e.user_id),
 n AS (SELECT w.user_id, start, count(*) AS n FROM w JOIN e ON e.user_id = w.user_id AND e.ts >= start AND e.ts < start + 86400 GROUP BY ALL)
 SELECT user_id::VARCHAR AS key, sum(n)::BIGINT AS requests, sum(least(n, 2))::BIGINT AS allowed FROM n GROUP BY user_id""",
+    "cleaned_replies": r"SELECT conv_id, turn, md5(trim(regexp_replace(regexp_extract(text, '^[^\n\r]*'), '\"+$', ''), ' ')) AS answer FROM conversations",
+    "rouge_l": f"""WITH RECURSIVE t AS (SELECT conv_id, turn, {_RT.format('answer')} AS a, {_RT.format('gold')} AS g FROM ({_PAIR})),
+w AS (SELECT conv_id, turn, a, g, 0 AS i, list_transform(range(len(g) + 1), lambda x: 0) AS row FROM t
+UNION ALL SELECT conv_id, turn, a, g, i + 1, list_reduce(list_transform(range(1, len(g) + 1), lambda j: [CASE WHEN g[j] = a[i + 1] THEN row[j] + 1 ELSE row[j + 1] END]), lambda acc, x: acc || [greatest(x[1], acc[len(acc)])], [0]) FROM w WHERE i < len(a))
+SELECT conv_id, turn, round(CASE WHEN len(a) + len(g) > 0 THEN 2.0 * row[len(row)] / (len(a) + len(g)) ELSE 0 END, 6) AS rougeL FROM w WHERE i = len(a)""",
 }

@@ -50,25 +50,32 @@ def sentence_counts(spark, sf):
 ASKED = ["How did they train the model?", "What accuracy did it achieve?", "Why does this fail in 2021?", "What is attention?", "future work and takeaway", "papers by Jane Doe at ICML from 2019 to 2022", "recent papers on parsing", "an arXiv preprint of 2020", "a journal article in Nature", "the new metric", "conference paper by Li", ""]
 
 
-def _questions(spark):
-    return spark.createDataFrame(list(enumerate(ASKED)), "question_id int, question string")
+def _questions(spark, sf):
+    """Every turn after one of a dozen questions."""
+    asked = F.get(F.array(*map(F.lit, ASKED)), (F.col("turn") % len(ASKED)).cast("int"))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", F.concat(asked, F.lit(" "), F.substring("text", 1, 40)).alias("question"))
 
 
 def section_intent(spark, sf):
-    return _questions(spark).select("question_id", X.section_intent(F.col("question")).alias("intent"))
+    return _questions(spark, sf).select("conv_id", "turn", X.section_intent(F.col("question")).alias("intent"))
 
 
 def academic_filters(spark, sf):
-    return _questions(spark).select("question_id", X.academic_filters(F.col("question"), 2026).alias("f")).select("question_id", "f.*")
+    return _questions(spark, sf).select("conv_id", "turn", X.academic_filters(F.col("question"), 2026).alias("f")).select("conv_id", "turn", "f.*")
 
 
 def query_expansion(spark, sf):
-    return _questions(spark).select("question_id", F.array_join(X.basic_expansion(F.col("question")), "|").alias("expanded"))
+    return _questions(spark, sf).select("conv_id", "turn", F.array_join(X.basic_expansion(F.col("question")), "|").alias("expanded"))
+
+
+NAMES = ["1 Introduction", "Our Model", "Experimental setup", "Results", "References", "Data collection", "Prior work", "Thanks", "Conclusions", "Appendix A"]
 
 
 def heading_classes(spark, sf):
-    names = ["1 Introduction", "Our Model", "Experimental setup", "Results", "References", "Data collection", "Prior work", "Thanks", "Conclusions", "Appendix A"]
-    return spark.createDataFrame([(n,) for n in names], "heading string").select("heading", X.heading_class(F.col("heading")).alias("section"))
+    """X21 on the first word of every document, after one of ten headings."""
+    name = F.get(F.array(*map(F.lit, NAMES)), (F.col("doc_id") % len(NAMES)).cast("int"))
+    heading = F.concat(F.substring_index("text", " ", 1), F.lit(" "), name)
+    return _t(spark, sf, "documents").select("doc_id", X.heading_class(heading).alias("section"))
 
 
 def _pairs(spark, sf):
@@ -165,8 +172,9 @@ def html_pages(spark, sf):
 
 QUERIES = {f.__name__: f for f in (tokenize_terms, clean_unicode, clean_whitespace, collapse_newlines, page_artifacts, source_windows, sentence_counts, section_intent, academic_filters, query_expansion, heading_classes, token_overlap_f1, squad_token_f1, conversation_last6, conversation_context, query_stats, latency_summary, store_stats, document_stats, feedback_latest_vote, feedback_summary, dedupe_latest, orphan_check, document_ids, citation_authors, answer_confidence, chunk_documents, html_pages)}
 
-_VALUES = ", ".join("({}, '{}')".format(k, q.replace("'", "''")) for k, q in enumerate(ASKED))
-_Q = f"(VALUES {_VALUES}) AS q(question_id, question)"
+_quoted = lambda words: "[" + ", ".join("'{}'".format(w.replace("'", "''")) for w in words) + "]"
+_Q = f"(SELECT conv_id, turn, {_quoted(ASKED)}[turn % {len(ASKED)} + 1] || ' ' || substr(text, 1, 40) AS question FROM conversations)"
+_H = f"(SELECT doc_id, split_part(text, ' ', 1) || ' ' || {_quoted(NAMES)}[doc_id % {len(NAMES)} + 1] AS heading FROM documents)"
 _INTENT = "CASE " + " ".join("WHEN regexp_matches(lower(question), '{}') THEN '{}'".format("|".join(f"(?:{p})" for p in ps), n) for n, ps in X.SECTION_INTENTS.items()) + " END"
 _HEAD = "CASE " + " ".join(f"WHEN regexp_matches(lower(heading), '{p}') THEN '{n}'" for n, p in X.HEADINGS.items()) + " ELSE 'other' END"
 _VENUE = "CASE " + " ".join(rf"WHEN regexp_matches(lower(question), '\b{v.lower()}\b') THEN '{v}'" for v in X.QUERY_VENUES) + " END"
@@ -196,12 +204,12 @@ ORACLES = {
     "collapse_newlines": r"SELECT doc_id, length(d)::INT AS before, length(regexp_replace(d, '\n{3,}', chr(10) || chr(10), 'g'))::INT AS after FROM (SELECT doc_id, replace(text, '. ', '.' || repeat(chr(10), 4)) AS d FROM documents)",
     "page_artifacts": "SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) WHERE length(line) BETWEEN 6 AND 99 GROUP BY ALL HAVING count(*) >= 5",
     "source_windows": "SELECT doc_id, (CASE WHEN n <= 4 THEN 1 ELSE ceil((n - 4) / 2.0)::INT + 1 END)::INT AS n_windows, length(array_to_string(CASE WHEN n <= 4 THEN p ELSE list_slice(p, ceil((n - 4) / 2.0)::INT * 2 + 1, n) END, ' '))::INT AS last_length FROM (SELECT doc_id, string_split(text, chr(10)) AS p, len(string_split(text, chr(10))) AS n FROM documents)",
-    "section_intent": f"SELECT question_id, {_INTENT} AS intent FROM {_Q}",
-    "academic_filters": rf"""SELECT question_id, coalesce(a, CASE WHEN s IS NULL AND regexp_matches(lower(question), '{X.RECENT}') THEN 2024 END) AS year_min, b AS year_max, s AS year_eq, nullif(regexp_extract(question, '\bby\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)', 1), '') AS author, {_VENUE} AS venue,
+    "section_intent": f"SELECT conv_id, turn, {_INTENT} AS intent FROM {_Q}",
+    "academic_filters": rf"""SELECT conv_id, turn, coalesce(a, CASE WHEN s IS NULL AND regexp_matches(lower(question), '{X.RECENT}') THEN 2024 END) AS year_min, b AS year_max, s AS year_eq, nullif(regexp_extract(question, '\bby\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)', 1), '') AS author, {_VENUE} AS venue,
 CASE WHEN regexp_matches(lower(question), '\barxiv\b') THEN 'arxiv' WHEN regexp_matches(lower(question), '\b(conference|workshop) paper') THEN 'conference' WHEN regexp_matches(lower(question), '\bjournal (paper|article)') THEN 'journal' END AS paper_type
 FROM (SELECT *, CASE WHEN a IS NULL THEN nullif(regexp_extract(question, '\b(20\d{{2}})\b', 1), '')::INT END AS s FROM (SELECT *, nullif(regexp_extract(question, '{_BOTH}', 1), '')::INT AS a, nullif(regexp_extract(question, '{_BOTH}', 2), '')::INT AS b FROM {_Q}))""",
-    "query_expansion": f"SELECT question_id, concat_ws('|', CASE WHEN NOT ends_with(question, '?') THEN 'What is ' || question || '?' END, CASE WHEN NOT regexp_matches(lower(question), '^(what|how|why|explain)') THEN 'Explain ' || question END) AS expanded FROM {_Q}",
-    "heading_classes": f"SELECT heading, {_HEAD} AS section FROM (VALUES ('1 Introduction'), ('Our Model'), ('Experimental setup'), ('Results'), ('References'), ('Data collection'), ('Prior work'), ('Thanks'), ('Conclusions'), ('Appendix A')) AS t(heading)",
+    "query_expansion": f"SELECT conv_id, turn, concat_ws('|', CASE WHEN NOT ends_with(question, '?') THEN 'What is ' || question || '?' END, CASE WHEN NOT regexp_matches(lower(question), '^(what|how|why|explain)') THEN 'Explain ' || question END) AS expanded FROM {_Q}",
+    "heading_classes": f"SELECT doc_id, {_HEAD} AS section FROM {_H}",
     "token_overlap_f1": rf"SELECT conv_id, turn, round(CASE WHEN c > 0 THEN 2.0 * c / (len(a) + len(g)) ELSE 0 END, 6) AS f1 FROM (SELECT *, len(list_intersect(a, g)) AS c FROM (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(answer), '[ \t\n\r\f\x0B]+'), lambda w: w != '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(gold), '[ \t\n\r\f\x0B]+'), lambda w: w != '')) AS g FROM ({_PAIR})))",
     "squad_token_f1": f"SELECT conv_id, turn, round(CASE WHEN coalesce(c, 0) > 0 THEN 2.0 * c / (len(a) + len(g)) ELSE 0 END, 6) AS f1 FROM (SELECT *, {_MULTI} AS c FROM (SELECT conv_id, turn, list_filter(string_split({_normal('answer')}, ' '), lambda w: w != '') AS a, list_filter(string_split({_normal('gold')}, ' '), lambda w: w != '') AS g FROM ({_PAIR})))",
     "conversation_last6": "SELECT conv_id, turn, role, length(text)::INT AS size FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6",
@@ -217,4 +225,6 @@ FROM (SELECT *, CASE WHEN a IS NULL THEN nullif(regexp_extract(question, '\b(20\
     "document_ids": "SELECT page_id, 'doc_' || md5(url || '_' || string_split(url, '/')[-1])[1:8] AS document_id FROM pages",
     "citation_authors": f"SELECT item_id, {_AUTHOR.format('Lovelace', 'Lovelace & Turing')} AS short, {_AUTHOR.format('Ada B. Lovelace', 'Ada B. Lovelace & Alan Turing')} AS long FROM benchmark",
     "answer_confidence": "SELECT user_id, round(CASE WHEN user_id % 700 = 0 THEN 0 ELSE greatest(0, least(1, 0.5 * list_avg(list_transform(s, lambda x: CASE WHEN x >= 0 AND x <= 1 THEN x ELSE 1 / (1 + exp(-x)) END)) + 0.3 * least(len(s) / 3.0, 1) + 0.2 * CASE WHEN user_id % 700 < 50 THEN 0.3 WHEN user_id % 700 < 200 THEN 0.7 ELSE 1.0 END)) END, 6) AS confidence FROM (SELECT user_id, list_slice(list_transform(list_sort(list(event_id)), lambda i: (i % 11 - 3) / 4.0), 1, 4) AS s FROM events GROUP BY user_id)",
+    "html_pages": r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS text FROM pages",
+    "sentence_counts": r"SELECT doc_id, len(string_split(regexp_replace(trim(text, ' '), '([.!?])[ \t\n\r\f\x0B]+', '\1' || chr(1), 'g'), chr(1)))::INT AS n_sentences FROM documents",
 }

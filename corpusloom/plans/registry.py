@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import answers, content, papers, reports, retrieval
+from corpusloom.plans import answers, benchmark, content, hybrid, papers, reports, retrieval
 
-_MODULES = (retrieval, content, answers, papers, reports)
+_MODULES = (retrieval, hybrid, benchmark, content, answers, papers, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import retrieval as R
 from corpusloom.operators.filters import apply_filters, delete_by_filter
+from corpusloom.operators.grounding import containing
 
 
 #: Shifts which hard negative is drawn.
@@ -123,19 +124,8 @@ def filter_delete(spark, sf):
 def ground_evidence(spark, sf):
     """J6 by containment: evidence passages in normal form against documents in normal form."""
     normal = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[ \t\n\r\f\x0B]+", " "))
-    items = _table(spark, sf, "benchmark").select("item_id", normal("text").alias("evidence"))
-    docs = _table(spark, sf, "documents").select("doc_id", normal("text").alias("body"))
-    parts = F.split("evidence", " ")
-    # An equality join on the longest inner word (it stands whole in the document as
-    # well), then the containment itself; passages without inner words are few.
-    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = items.withColumn("key", longest)
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("body", " "))).alias("key"))
-    found = keyed.join(words, "key").join(docs, "doc_id").filter(F.col("body").contains(F.col("evidence"))).select("item_id", "doc_id")
-    short = keyed.filter("key is null").join(docs, F.col("body").contains(F.col("evidence"))).select("item_id", "doc_id")
-    found = found.unionByName(short)
-    return found.select("item_id", "doc_id")
+    items = _table(spark, sf, "benchmark").select("item_id", normal("text").alias("passage"))
+    return containing(items, _table(spark, sf, "documents").select("doc_id", normal("text").alias("body")))
 
 
 def _metrics(spark, sf):
