@@ -13,6 +13,11 @@ CITATION = r"\[\d+\]|\([A-Z][a-z]+ et al\.,? \d{4}\)"
 FACTS = ["title", "authors", "venue", "year", "doi", "arxiv_id", "paper_type", "confidence"]
 
 
+def is_research_paper(confidence: Column) -> Column:
+    """more than an even chance."""
+    return confidence > 0.5
+
+
 def section_at(sections: Column, position: Column) -> Column:
     """The kind of the first section that holds a position; null when none does."""
     return F.get(F.filter(sections, lambda s: (s["start"] <= position) & (position < s["end"])), F.lit(0))["kind"]
@@ -25,7 +30,7 @@ def enrich_chunks(chunks: DataFrame, papers: DataFrame) -> DataFrame:
     that does not look like a paper (confidence of 0.5 or less, or unknown) keep null facts, and
     one row a document is expected of ``papers``.
     """
-    facts = papers.filter("confidence > 0.5").select("document_id", F.struct("abstract", "sections", *FACTS).alias("_p"))
+    facts = papers.select("document_id", F.when(is_research_paper(F.col("confidence")), F.struct("abstract", "sections", *FACTS)).alias("_p"))
     both = chunks.join(facts, "document_id", "left")
     path = F.coalesce(F.when(F.col("header_path") != "", F.col("header_path")), F.col("header"), F.lit(""))
     named = header_path_class(path, F.coalesce("_p.title", F.lit("")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import answers as A
 from corpusloom.operators import verification
+from corpusloom.operators.benchmark import faithfulness_summary as faithful_answers
 from corpusloom.operators.evaluation import multiset_f1
 from corpusloom.plans.content import _MULTI, _PAIR, _pairs
 from corpusloom.streaming import limiter
@@ -98,7 +99,12 @@ def rate_limited(spark, sf):
     return limiter.rate_limit(asked, limit=2, length=86_400).groupBy("key").agg(F.count("*").alias("requests"), F.count_if("allowed").alias("allowed"))
 
 
-QUERIES = {f.__name__: f for f in (claim_extraction, content_words, claim_verification, answer_faithfulness, citation_strings, unsupported_citations, citation_accuracy, answer_completeness, paragraph_f1, cleaned_replies, rouge_ngrams, rouge_l, evidence_coverage, rate_limited)}
+def faithfulness_summary(spark, sf):
+    """A13 over all answers."""
+    return faithful_answers(verification.faithfulness(_answers(spark, sf), _verdicts(spark, sf)))
+
+
+QUERIES = {f.__name__: f for f in (faithfulness_summary, claim_extraction, content_words, claim_verification, answer_faithfulness, citation_strings, unsupported_citations, citation_accuracy, answer_completeness, paragraph_f1, cleaned_replies, rouge_ngrams, rouge_l, evidence_coverage, rate_limited)}
 
 _q = lambda pattern: pattern.replace("'", "''")
 _list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
@@ -136,3 +142,23 @@ w AS (SELECT conv_id, turn, a, g, 0 AS i, list_transform(range(len(g) + 1), lamb
 UNION ALL SELECT conv_id, turn, a, g, i + 1, list_reduce(list_transform(range(1, len(g) + 1), lambda j: [CASE WHEN g[j] = a[i + 1] THEN row[j] + 1 ELSE row[j + 1] END]), lambda acc, x: acc || [greatest(x[1], acc[len(acc)])], [0]) FROM w WHERE i < len(a))
 SELECT conv_id, turn, round(CASE WHEN len(a) + len(g) > 0 THEN 2.0 * row[len(row)] / (len(a) + len(g)) ELSE 0 END, 6) AS rougeL FROM w WHERE i = len(a)""",
 }
+
+_CLAIMS = ORACLES["claim_extraction"].rsplit("\nSELECT", 1)[0].replace("WITH l AS", "l AS").replace("coalesce(text, '')", "coalesce(answer, '')").replace("FROM conversations)", "FROM pairs)")
+_CONTENT = f"list_filter(list_distinct(regexp_extract_all(lower({{}}), '[a-z0-9][a-z0-9.\\-]*')), lambda w: NOT list_contains({_list(A.CLAIM_STOP)}, w))"
+_VERDICTS = f"""pairs AS ({_PAIR}), {_CLAIMS},
+asked AS (SELECT conv_id, turn, unnest(a) AS claim, generate_subscripts(a, 1) - 1 AS claim_no FROM c),
+parts AS (SELECT conv_id, turn, {_SPLIT.format('gold')} AS x FROM pairs),
+told AS (SELECT conv_id, turn, x, len(x) AS n FROM parts WHERE len(x) > 0),
+win AS (SELECT conv_id, turn, unnest(CASE WHEN n <= 4 THEN [array_to_string(x, ' ')] ELSE list_transform(range(0, (ceil((n - 4) / 2.0) * 2 + 1)::INT, 2), lambda i: array_to_string(x[i + 1:i + 4], ' ')) END) AS w, unnest(range(CASE WHEN n <= 4 THEN 1 ELSE ceil((n - 4) / 2.0)::INT + 1 END)) AS window_no FROM told),
+cw AS (SELECT *, {_CONTENT.format('claim')} AS cws FROM asked), ww AS (SELECT *, {_CONTENT.format('w')} AS wws FROM win),
+near AS (SELECT conv_id, turn, claim_no, w, cws, len(list_intersect(cws, wws)) AS shared, row_number() OVER (PARTITION BY conv_id, turn, claim_no ORDER BY len(list_intersect(cws, wws)) DESC, window_no) AS place FROM cw JOIN ww USING (conv_id, turn)),
+e AS (SELECT conv_id, turn, claim_no, w, place, CASE WHEN len(cws) > 0 THEN shared / len(cws) ELSE 0.0 END AS ent FROM near WHERE place <= 4),
+best AS (SELECT conv_id, turn, claim_no, max(ent) AS ent, arg_min(w, {{'e': -ent, 'p': place}}) AS evidence FROM e GROUP BY ALL),
+v AS (SELECT conv_id, turn, claim_no, claim, ent, evidence FROM asked LEFT JOIN best USING (conv_id, turn, claim_no))"""
+ORACLES["claim_verification"] = f"WITH {_VERDICTS} SELECT conv_id || '-' || turn AS answer_id, claim_no::INT AS claim_no, claim, round(coalesce(ent, 0), 6) AS entailment, CASE WHEN evidence IS NOT NULL THEN 0 END::INT AS source_index, evidence, 0.0::DOUBLE AS contradiction, evidence IS NOT NULL AND coalesce(ent, 0) >= 0.5 AS supported FROM v"
+ORACLES["answer_faithfulness"] = f"WITH {_VERDICTS}, f AS (SELECT conv_id, turn, count(*) AS n, count(*) FILTER (evidence IS NULL OR coalesce(ent, 0) < 0.5) AS bad FROM v GROUP BY ALL) SELECT conv_id || '-' || turn AS answer_id, coalesce(n, 0) AS num_claims, coalesce(bad, 0) AS num_unsupported, round(1 - bad / n, 6) AS faithfulness FROM pairs LEFT JOIN f USING (conv_id, turn)"
+ORACLES["faithfulness_summary"] = f"WITH {_VERDICTS}, f AS (SELECT conv_id, turn, count(*) AS n, count(*) FILTER (evidence IS NULL OR coalesce(ent, 0) < 0.5) AS bad FROM v GROUP BY ALL), j AS (SELECT n, bad FROM pairs LEFT JOIN f USING (conv_id, turn)) SELECT count(*) AS answers_checked, count(n) AS answers_with_claims, round(avg(1 - bad / n), 4) AS mean_faithfulness, sum(n)::BIGINT AS claims, sum(n - bad)::BIGINT AS claims_verified, round(sum(n - bad) / sum(n), 4) AS claim_level_faithfulness, count(*) FILTER (bad = 0) AS answers_fully_verified FROM j"
+ORACLES["evidence_coverage"] = f"""WITH t AS (SELECT conv_id, turn, {_RT.format('gold')} AS g, {_RT.format('answer')} AS a FROM ({_PAIR})), e AS (SELECT conv_id, turn, unnest(g) AS w, generate_subscripts(g, 1) AS p FROM t), c AS (SELECT conv_id, turn, unnest(a) AS w, generate_subscripts(a, 1) AS p FROM t),
+m AS (SELECT e.conv_id, e.turn, e.p, e.p - c.p AS diag FROM e JOIN c ON e.conv_id = c.conv_id AND e.turn = c.turn AND e.w = c.w),
+i AS (SELECT conv_id, turn, count(*) AS run FROM (SELECT *, p - row_number() OVER (PARTITION BY conv_id, turn, diag ORDER BY p) AS island FROM m) GROUP BY conv_id, turn, diag, island), r AS (SELECT conv_id, turn, max(run) AS run FROM i GROUP BY ALL)
+SELECT conv_id, turn, CASE WHEN len(g) > 0 THEN coalesce(run, 0) / len(g) ELSE 0.0 END AS of_evidence, CASE WHEN len(a) > 0 THEN coalesce(run, 0) / len(a) ELSE 0.0 END AS of_chunk FROM t LEFT JOIN r USING (conv_id, turn)"""

@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import papers as P
-from corpusloom.functions.text import PAPER_VENUES, venue
+from corpusloom.functions.text import HEADINGS, PAPER_VENUES, venue
 
 YEAR_NOW = 2026
 # The front matter of the dressed documents, by doc_id % 5, and their DOI, by doc_id % 4.
 FRONTS = ["Received 3 May 2019", "Journal of Proofs (2015) 12:84", "arXiv:2103.12345v1", "Between 1999 and 2001 and 2001", "IEEE Letters"]
 
 
+# Their authors: up to three in a row, with a mark at every other paper.
+AUTHORS = ["Ada B. Lovelace", "Alan Turing", "Jan van der Berg", "Emmy Noether", "O'Neil Smith"]
+
+
 def _papers(spark, sf):
-    front = F.get(F.array(*[F.lit(f) for f in FRONTS]), (F.col("doc_id") % 5).cast("int"))
+    pick = lambda items, n: F.get(F.array(*[F.lit(x) for x in items]), (F.col("doc_id") % n).cast("int"))
     number = F.when(F.col("doc_id") % 4 == 0, F.lit(" doi 10.1000/abc.12)., ")).otherwise(F.lit(""))
-    text = F.concat(F.lit("# A Study of Item "), "doc_id", F.lit("\n\nAda B. Lovelace1, Alan Turing2\n\n"), front, number, F.lit("\n\n## Abstract\n"), "text", F.lit("\n\nKeywords: proofs, x, long games\n\n## 2 Our Method\nAs [1, 2] and (Gauss, 1800) say $x$.\n\n## References\n[1] One\n[2] Two\n"))
+    names = F.array_join(F.slice(F.array(*[F.lit(n) for n in AUTHORS]), (F.col("doc_id") % 3 + 1).cast("int"), (F.col("doc_id") % 4).cast("int")), ", ")
+    mark = F.when((F.col("doc_id") % 2 == 1) & (names != ""), F.lit("1")).otherwise(F.lit(""))
+    about = F.substring(F.substring_index("text", "\n", 1), 1, 40)
+    text = F.concat(F.lit("# A Study of "), about, F.lit("\n\n"), names, mark, F.lit("\n\n"), pick(FRONTS, 5), number, F.lit("\n\n## Abstract\n"), "text", F.lit("\n\nKeywords: proofs, x, long games\n\n## 2 Our Method\nAs [1, 2] and (Gauss, 1800) say $x$.\n\n## References\n[1] One\n[2] Two\n"))
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", text.alias("text"))
 
 
@@ -39,16 +46,25 @@ def paper_citations(spark, sf):
     return _papers(spark, sf).select("doc_id", F.explode(P.citations(F.col("text"))).alias("c")).select("doc_id", "c.*")
 
 
+PATHS = ["A Model", "1 Introduction", "Our Model", "Baseline Models", "Thanks", "Background", "Data", "Results and Discussion"]
+
+
 def header_paths(spark, sf):
-    paths = ["A Model > Experiments > Baseline Models", "A Model", "a model! > Thanks", "Model > Background", "", "Thanks > Data"]
-    return spark.createDataFrame([(p,) for p in paths], "path string").select("path", P.header_path_class(F.col("path"), F.lit("A Model")).alias("section"))
+    """Three headings of every document, the first of which may be its title."""
+    part = lambda n: F.get(F.array(*map(F.lit, PATHS)), F.expr(f"int(doc_id div {n} % {len(PATHS)})"))
+    path = F.concat_ws(" > ", part(1), part(8), part(64))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", P.header_path_class(path, F.lit("a model!")).alias("section"))
 
 
 QUERIES = {f.__name__: f for f in (paper_facts, paper_structure, paper_confidence, paper_citations, header_paths)}
 
 _FRONT = "['" + "', '".join(FRONTS) + "'][doc_id % 5 + 1]"
-_MD = f"SELECT doc_id, '# A Study of Item ' || doc_id || e'\\n\\nAda B. Lovelace1, Alan Turing2\\n\\n' || {_FRONT} || CASE WHEN doc_id % 4 = 0 THEN ' doi 10.1000/abc.12)., ' ELSE '' END || e'\\n\\n## Abstract\\n' || text || e'\\n\\nKeywords: proofs, x, long games\\n\\n## 2 Our Method\\nAs [1, 2] and (Gauss, 1800) say $x$.\\n\\n## References\\n[1] One\\n[2] Two\\n' AS md FROM documents"
+_list = lambda items: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+_NAMES = f"{_list(AUTHORS)}[doc_id % 3 + 1:doc_id % 3 + doc_id % 4]"
+_ABOUT = "substr(split_part(text, chr(10), 1), 1, 40)"
+_MD = f"SELECT doc_id, text AS body, '# A Study of ' || {_ABOUT} || e'\\n\\n' || array_to_string({_NAMES}, ', ') || CASE WHEN doc_id % 2 = 1 AND doc_id % 4 > 0 THEN '1' ELSE '' END || e'\\n\\n' || {_FRONT} || CASE WHEN doc_id % 4 = 0 THEN ' doi 10.1000/abc.12)., ' ELSE '' END || e'\\n\\n## Abstract\\n' || text || e'\\n\\nKeywords: proofs, x, long games\\n\\n## 2 Our Method\\nAs [1, 2] and (Gauss, 1800) say $x$.\\n\\n## References\\n[1] One\\n[2] Two\\n' AS md FROM documents"
 _ABS = r"trim(regexp_replace(regexp_extract(md, '{}', 1), '\s+', ' ', 'g'), ' ')"
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(lower(heading), '{p}') THEN '{n}'" for n, p in HEADINGS.items()) + " ELSE 'other' END"
 _VENUES = "CASE " + " ".join(rf"WHEN regexp_matches(lower(substr(md, 1, 2000)), '\b{v.lower()}\b') THEN '{v}'" for v in PAPER_VENUES) + " END"
 
 ORACLES = {
@@ -59,5 +75,7 @@ SELECT doc_id, coalesce(CASE WHEN y1 BETWEEN 1970 AND 2027 THEN y1 END, CASE WHE
 nullif(regexp_replace(regexp_extract(md, '{P.DOI}', 1), '[.,;)\]]+$', ''), '') AS doi, arxiv_id, md5(CASE WHEN length(a1) BETWEEN 50 AND 3000 THEN a1 WHEN length(a2) BETWEEN 50 AND 3000 THEN a2 END) AS abstract,
 array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_extract(md, '{P.KEYWORDS}', 1), '[,;]'), lambda k: trim(k)), lambda k: length(k) BETWEEN 2 AND 50)[1:10], '|') AS keywords,
 len(regexp_extract_all(regexp_extract(md, '{P.REFERENCES}', 1), '(?m)^\[\d+\]'))::INT AS n_references, (len(regexp_extract_all(md, '{P.NUMBERED}')) + len(regexp_extract_all(md, '{P.AUTHOR_YEAR}')))::INT AS n_citations FROM a""",
-    "header_paths": "SELECT * FROM (VALUES ('A Model > Experiments > Baseline Models', 'experiments'), ('A Model', 'other'), ('a model! > Thanks', 'other'), ('Model > Background', 'methodology'), ('', 'other'), ('Thanks > Data', 'dataset')) AS t(path, section)",
+    "header_paths": f"""WITH n AS (SELECT doc_id, unnest([{', '.join(f"{_list(PATHS)}[doc_id // {k} % {len(PATHS)} + 1]" for k in (1, 8, 64))}]) AS heading, unnest([1, 2, 3]) AS place FROM documents), k AS (SELECT doc_id, place, {_KIND} AS kind FROM n WHERE NOT (place = 1 AND heading = 'A Model'))
+SELECT doc_id, coalesce(arg_min(kind, place) FILTER (kind != 'other'), 'other') AS section FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id""",
+    "paper_structure": f"""SELECT doc_id, trim(regexp_replace(trim('A Study of ' || {_ABOUT}, ' '), '[*_]+$', ''), ' ') AS title, CASE WHEN doc_id % 4 > 1 OR doc_id % 4 = 1 AND doc_id % 2 = 1 THEN array_to_string({_NAMES}, '|') ELSE '' END AS authors, 4::INT AS n_sections, 'other|abstract|methodology|references' AS kinds FROM documents""",
 }
