@@ -54,7 +54,9 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 def _latin1_pieces() -> re.Pattern:
     """``WORDS`` for Latin-1 texts, its classes written out, since ``re`` knows no ``\\p`` but is the faster engine."""
     letters, digits, spaces = ("".join(re.escape(c) for c in map(chr, range(256)) if regex.match(k, c)) for k in (r"\p{L}", r"\p{N}", r"\p{White_Space}"))
-    inside = WORDS.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{digits}]")
+    # What begins with a space or a letter goes first, since most pieces do and no other kind before it can begin so.
+    first = r" ?\p{L}+|"
+    inside = (first + WORDS.replace(first, "")).replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{digits}]")
     for name, members in ((r"\p{L}", f"[{letters}]"), (r"\p{N}", f"[{digits}]"), (r"\S", f"[^{spaces}]"), (r"\s", f"[{spaces}]")):
         inside = inside.replace(name, members)
     return re.compile(inside)
@@ -97,9 +99,10 @@ class Encoder:
         where each begins.
         """
         fast = self.tokenizer.encode_batch_fast
-        plain = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        plain, rest = [], []
+        for p in pieces:  # after a space and a letter the pattern takes letters alone
+            (plain if p[0] == " " and p[1:2].isalpha() else rest).append(p)
         groups = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
-        rest = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
         for group, e in zip(groups, fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
             cuts = np.flatnonzero(self.opens[ids])
