@@ -193,7 +193,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int, index: R.Bm25In
     return fused.select("query_id", "chunk_id", "score", "rank", zero("vector_score"), zero("bm25_score"))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, top_k: int = 10, settings: Settings | None = None, filters: dict | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, top_k: int = 10, settings: Settings | None = None, filters: dict | None = None, index: R.Bm25Index | None = None) -> DataFrame:
     """The results of every question.
 
     queries: query_id, text, and query where its vector is known.  chunks: chunk_id, text,
@@ -202,7 +202,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, top_k: int = 10, settings: S
 
     A question whose inferred filters leave fewer candidates than are wanted gets those of
     a search without them behind (R15); the caller's filters always hold, and BM25's
-    statistics come from all chunks.
+    statistics come from all chunks (``index``, where it is at hand).
     """
     settings = settings or Settings()
     depth = settings.depth(top_k)
@@ -210,7 +210,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, top_k: int = 10, settings: S
         queries = queries.withColumn("query", settings.embedder.queries(F.col("text")))
     if "embedding" not in chunks.columns:
         chunks = chunks.withColumn("embedding", settings.embedder.passages(F.col("text")))
-    index = R.bm25_index(chunks) if settings.hybrid else None
+    index = (index or R.bm25_index(chunks)) if settings.hybrid else None
     kept = apply_filters(chunks, filters)
     asked = process(queries, settings, filters) if settings.processing else queries
     hits = hybrid_search(asked, kept, depth, index, settings.hybrid).withColumn("block", F.lit(0))

@@ -12,7 +12,7 @@ from corpusloom.operators import benchmark as M
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import pipeline as P
 from corpusloom.operators import retrieval as R
-from corpusloom.plans.retrieval import _BM25, _EVIDENCE, _cut, _msql, ground_evidence
+from corpusloom.plans.retrieval import _BM25, _EVIDENCE, _cut, _msql, bm25_index_of, ground_evidence
 
 _t = lambda spark, sf, name: spark.read.parquet(f"{sf}/{name}.parquet")
 MODES = ("fast", "balanced", "accurate")
@@ -32,7 +32,7 @@ def _questions(spark, sf):
 
 
 def hybrid_search(spark, sf):
-    hits = P.hybrid_search(_questions(spark, sf), _chunks(spark, sf), 10)
+    hits = P.hybrid_search(_questions(spark, sf), _chunks(spark, sf), 10, bm25_index_of(spark, sf))
     return hits.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
@@ -40,12 +40,12 @@ def rrf_one_sided(spark, sf):
     """Questions that one side or the other leaves out keep the other's scores."""
     q, c = _questions(spark, sf), _chunks(spark, sf)
     vector = R.vector_search(q.filter("query_id % 3 != 0"), c.filter("embedding is not null"), 20)
-    lexical = R.bm25(q.filter("query_id % 3 != 1"), c, 20)
+    lexical = R.bm25(q.filter("query_id % 3 != 1"), c, 20, index=bm25_index_of(spark, sf))
     return R.fuse(vector, lexical).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _mode(spark, sf, mode, k=5, questions=None):
-    return P.retrieve(questions or _questions(spark, sf), _chunks(spark, sf), k, P.Settings.of_mode(mode))
+    return P.retrieve(questions or _questions(spark, sf), _chunks(spark, sf), k, P.Settings.of_mode(mode), index=bm25_index_of(spark, sf))
 
 
 def retrieval_modes(spark, sf):
@@ -64,7 +64,7 @@ def _dated(spark, sf):
 
 def inferred_filters(spark, sf):
     """Filters that the question states come first, what they leave out behind."""
-    hits = P.retrieve(_dated(spark, sf), _chunks(spark, sf), 150, P.Settings.of_mode("balanced", candidates=None))
+    hits = P.retrieve(_dated(spark, sf), _chunks(spark, sf), 150, P.Settings.of_mode("balanced", candidates=None), index=bm25_index_of(spark, sf))
     return hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), "widened")
 
 
@@ -96,7 +96,7 @@ def retrieval_means(spark, sf):
     """M6: means over questions with results, and over all; a filter leaves some without."""
     truth = ground_evidence(spark, sf).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"))
     chunks = _t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source")
-    hits = R.bm25(_t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text").filter("query_id % 4 != 0"), chunks, 10, {"source": ["src1", "src2", "src3"]})
+    hits = R.bm25(_t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text").filter("query_id % 4 != 0"), chunks, 10, {"source": ["src1", "src2", "src3"]}, bm25_index_of(spark, sf))
     means = M.retrieval_means(E.ranking_metrics(hits, truth).select("query_id", "rr", "ndcg10"), hits)
     return means.select("n_answered", "n", *[F.round(c, 6).alias(c) for c in ("rr_answered", "ndcg10_answered", "rr_all", "ndcg10_all")])
 

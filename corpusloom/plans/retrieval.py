@@ -9,6 +9,7 @@ from corpusloom.operators import evaluation as E
 from corpusloom.operators import retrieval as R
 from corpusloom.operators.filters import apply_filters, delete_by_filter
 from corpusloom.operators.grounding import containing
+from corpusloom.runtime import kept, state_of
 
 
 #: Shifts which hard negative is drawn.
@@ -31,8 +32,16 @@ def _hits(df: DataFrame, *more: str) -> DataFrame:
     return df.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", *more)
 
 
+def bm25_index_of(spark, sf):
+    """The documents' index, built when it is first asked for, and again when their files change."""
+    state = ("bm25", *state_of(_table(spark, sf, "documents")))
+    if state not in kept:
+        kept[state] = R.bm25_index(_chunks(spark, sf))
+    return kept[state]
+
+
 def _bm25(spark, sf, filters=None, k=10):
-    return R.bm25(_asked(spark, sf), _chunks(spark, sf), k, filters)
+    return R.bm25(_asked(spark, sf), _chunks(spark, sf), k, filters, bm25_index_of(spark, sf))
 
 
 def _vectors(spark, sf):
@@ -48,12 +57,12 @@ def _vector(spark, sf, **options):
 
 
 def bm25_corpus_stats(spark, sf):
-    index = R.bm25_index(_chunks(spark, sf))
+    index = bm25_index_of(spark, sf)
     return index.terms.agg(F.lit(index.n_docs).cast("long").alias("n_docs"), F.round(F.lit(index.avgdl), 6).alias("avgdl"), F.count("*").alias("vocabulary"))
 
 
 def bm25_idf(spark, sf):
-    return R.idf(_chunks(spark, sf)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25_index_of(spark, sf).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_top10(spark, sf):
@@ -83,7 +92,7 @@ def vector_euclidean(spark, sf):
 def _ranked(spark, sf, keep: tuple[str, ...], *arms: tuple[dict | None, int]):
     """Several cuts of one scoring."""
     chunks = _chunks(spark, sf)
-    scored = R.bm25_scores(_asked(spark, sf), chunks, R.bm25_index(chunks), keep)
+    scored = R.bm25_scores(_asked(spark, sf), chunks, bm25_index_of(spark, sf), keep)
     return [R.cut(apply_filters(scored, filters), k) for filters, k in arms]
 
 

@@ -31,6 +31,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 _written: list[tuple[object, str]] = []
+#: What is kept for a session between queries; it goes with the tables.
+kept: dict[tuple, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,4 +71,16 @@ def release_tables(spark: SparkSession) -> int:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     _written[:] = [x for x in _written if x[0] is not spark]
+    kept.clear()
     return len(own)
+
+
+def state_of(df: DataFrame) -> tuple:
+    """The files that a table is read from, with their sizes and times: equal as long as they hold the same."""
+    spark = df.sparkSession
+    conf, out = spark._jsc.hadoopConfiguration(), []
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return (spark.sparkContext.applicationId, *out)
