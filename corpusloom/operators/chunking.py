@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import ship_package
+
 CHUNKS = "document_id string, chunk_id string, chunk_index int, total_chunks int, text string, token_count int, header string, header_level int, header_path string, start_char int, end_char int, has_code boolean, has_tables boolean, has_overlap boolean, merged boolean, emergency_split boolean"
 
 
@@ -20,6 +22,23 @@ def count_tokens(text: str) -> int:
     return len(re.findall(r"\w+|[^\w\s]", text))
 
 
+class TokenizerCounter:
+    """Counts the tokens of a tokenizers file, which every machine has at ``path``; it is opened where it is used."""
+
+    def __init__(self, path: str):
+        self.path, self.tokenizer = path, None
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "tokenizer": None}
+
+    def __call__(self, text: str) -> int:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 def sections(markdown: str) -> list[dict]:
     """Runs of lines under one heading; headings inside code fences don't count."""
     out, stack, fenced, at = [], [], False, 0
@@ -91,18 +110,22 @@ def chunk_document(markdown: str, target: int = 500, least: int = 200, most: int
     return out
 
 
-def chunk_documents(docs: DataFrame, target: int = 500, least: int = 200, most: int = 800, overlap: int = 1) -> DataFrame:
-    """Chunks of (document_id, text); ids are ``document_id:index``.  Null or blank texts have none."""
+def chunk_documents(docs: DataFrame, target: int = 500, least: int = 200, most: int = 800, overlap: int = 1, count=count_tokens) -> DataFrame:
+    """Chunks of (document_id, text); ids are ``document_id:index``.  Null or blank texts have none.
+
+    count: of a text's tokens, a pattern's unless another counter is given.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    ship_package(docs.sparkSession)
     schema = to_arrow_schema(_parse_datatype_string(CHUNKS))
 
     def run(batches):
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = chunk_document(text or "", target, least, most, overlap)
+                found = chunk_document(text or "", target, least, most, overlap, count)
                 rows += [(i, f"{i}:{k}", k, len(found), c["text"], c["n"], c["header"], c["level"], c["path"], c["start"], c["end"], c["code"], c["tables"], c["overlap"], c["merged"], c["split"]) for k, c in enumerate(found)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import ship_package
+
 #: Ranges of scores that are ranked apart.
 BUCKETS = 200
 
@@ -96,6 +98,7 @@ def _bootstrap(iterations: int, seed: int):
 
 def paired_bootstrap(scores: DataFrame, iterations: int = 10_000, seed: int = 20260827) -> DataFrame:
     """M14 on (comparison, query_id, a, b): mean difference, percentile interval, sign-flip p value."""
+    ship_package(scores.sparkSession)
     return scores.groupBy("comparison").applyInPandas(_bootstrap(iterations, seed), "comparison string, delta double, ci_low double, ci_high double, p_value double, significant boolean")
 
 

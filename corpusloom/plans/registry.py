@@ -3,18 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.plans import answers, benchmark, content, hybrid, papers, reports, retrieval
+from corpusloom.runtime import ship_package
 
 _MODULES = (retrieval, hybrid, benchmark, content, answers, papers, reports)
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with this package on the executors, which its Arrow functions need."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for module in _MODULES:
-        found |= module.QUERIES
+        found |= {name: _shipped(query) for name, query in module.QUERIES.items()}
     return found
 
 

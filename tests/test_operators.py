@@ -95,3 +95,16 @@ def test_sources(spark, tmp_path):
     found = discover(spark, str(tmp_path)).collect()
     assert [(r.extension, r.error is None) for r in found] == [("md", True), ("exe", False), ("txt", True)]
     assert sorted(r.text for r in read_texts(spark, str(tmp_path)).collect()) == ["café", "grün"]
+
+
+def test_chunks_by_a_tokenizer(spark):
+    """Another counter changes where texts are cut."""
+    import public_tokenizers
+
+    from corpusloom.operators.chunking import TokenizerCounter, chunk_documents, count_tokens
+
+    text = "\n\n".join("Unbelievably antidisestablishmentarian paragraphs. " * 12 for _ in range(12))
+    docs = spark.createDataFrame([("d", text), ("e", None)], "document_id string, text string")
+    count = TokenizerCounter(str(public_tokenizers.path("byte_bpe_50k.json")))
+    plain, own = chunk_documents(docs).collect(), chunk_documents(docs, count=count).collect()
+    assert len(own) > len(plain) and all(r.token_count <= 900 for r in own) and count("a b c") == 3 and count_tokens("a b c") == 3
