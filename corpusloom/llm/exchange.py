@@ -19,6 +19,8 @@ from corpusloom.runtime import ship_package
 
 #: Bytes of text in a chunk, and what makes for one slot, about.
 CHUNK_BYTES = 8 << 20
+#: The kind of answers that say which hashes many chunks hold.
+HOT = 2
 #: What a row costs besides its text.
 ROW_BYTES = 32
 

@@ -6,7 +6,8 @@ holds one whole reference block of its earlier copy, so no repeat is missed.  A
 that several places hold, one of them as a reference, is an anchor.
 
 Each window that holds anchors is filed under the one of least hash, which equal
-windows share wherever they stand.  The words around an anchor go to the anchor's slot,
+windows share wherever they stand; where that one stands in ``HOT_CHUNKS`` chunks, under it
+and the next one together, so that a common phrase with many surroundings is spread.  The words around an anchor go to the anchor's slot,
 and there the hit is extended to the left and to the right, word by word, among all
 places at once: places stay in one class as long as their words agree.  Words are told
 apart by their bytes, so hashes only bring places together and decide nothing.  Where
@@ -35,6 +36,8 @@ from corpusloom.llm import kernels as K
 RESULT = "doc_id long, kept_text string, n_words long, n_removed long, spans array<int>"
 _RESULT = pa.schema([("doc_id", pa.int64()), ("kept_text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int32()))])
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: An anchor of so many chunks is filed together with a second one.
+HOT_CHUNKS = 256
 
 
 class Blocks:
@@ -54,7 +57,7 @@ class Blocks:
 class Surroundings:
     """The runs of windows that are filed under one anchor each; equal ones have one number."""
 
-    def __init__(self, b: Blocks, hits: np.ndarray, window: int, block: int, slots: int):
+    def __init__(self, b: Blocks, hits: np.ndarray, hot: np.ndarray, window: int, block: int, slots: int):
         n, shifts = len(b.words), window - block + 1
         masked = np.full(n + shifts, _NONE)
         masked[b.at] = np.where(hits[b.sent.place], b.hashes, _NONE)
@@ -65,10 +68,12 @@ class Surroundings:
         for d in range(shifts):
             here = (anchor < 0) & (masked[inside + d] == least[inside])
             anchor[here] = inside[here] + d
-        new = np.flatnonzero(np.diff(anchor, prepend=-1))
+        second = self.second(inside, anchor, masked, b, hot, shifts)
+        new = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(second, prepend=-2) != 0))
         self.begin, self.anchor = inside[new], anchor[new]
         self.size = np.diff(new, append=len(inside))  # windows
-        self.hash = masked[self.anchor]
+        self.hash, more = masked[self.anchor], second[new]
+        self.hash = np.where(more < 0, self.hash, K.mix(self.hash ^ K.mix(masked[more])))
         doc = b.doc_of(self.begin)
         self.ids, self.pos = b.docs.ids[doc], self.anchor - b.first[doc]
         last = self.begin + self.size + window - 1
@@ -81,6 +86,21 @@ class Surroundings:
         self.sample = order[new]  # of each number, its first place
         self.parts = list(K.dealt((self.hash[self.sample] % np.uint64(slots)).astype(np.int32))) if len(order) else []
 
+    @staticmethod
+    def second(inside: np.ndarray, anchor: np.ndarray, masked: np.ndarray, b: Blocks, hot: np.ndarray, shifts: int) -> np.ndarray:
+        """Where an anchor is hot, the next least one of each window; -1 elsewhere, and where there is none."""
+        out, is_hot = np.full(len(inside), -1), np.zeros(len(masked), bool)
+        is_hot[b.at] = hot[b.sent.place]
+        own = np.flatnonzero(is_hot[anchor])
+        best, place = np.full(len(own), _NONE), np.full(len(own), -1)
+        for d in range(shifts if len(own) else 0):
+            at = inside[own] + d
+            value = np.where(at == anchor[own], _NONE, masked[at])
+            better = value < best
+            best[better], place[better] = value[better], at[better]
+        out[own] = place
+        return out
+
     def windows(self) -> np.ndarray:
         return self.size[self.sample]
 
@@ -96,14 +116,19 @@ def _send(block: int, slots: int):
     return run
 
 
-def _anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Blocks that stand in several places, in one of them as a reference."""
-    got = X.Received(table)
-    reference, several = got.flags
-    _, place = np.unique(got.hashes, return_inverse=True)
-    times = np.bincount(place, 1 + several)
-    indexed = np.bincount(place, reference) > 0
-    return got.answer(key[0].as_py(), ((times > 1) & indexed)[place])
+def _anchors(hot_chunks: int):
+    """Blocks that stand in several places, in one of them as a reference; and those of many chunks."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        got = X.Received(table)
+        reference, several = got.flags
+        _, place = np.unique(got.hashes, return_inverse=True)
+        chunks = np.bincount(place)
+        hits = (np.bincount(place, 1 + several) > 1) & (np.bincount(place, reference) > 0)
+        slot = key[0].as_py()
+        return pa.concat_tables([got.answer(slot, hits[place]), got.answer(slot, (hits & (chunks >= hot_chunks))[place], X.HOT)])
+
+    return run
 
 
 def _surround(window: int, block: int, slots: int):
@@ -111,7 +136,7 @@ def _surround(window: int, block: int, slots: int):
         rows = []
         if right.num_rows:
             b = Blocks(left, block, slots)
-            s = Surroundings(b, b.sent.flags(X.answers_of(right)), window, block, slots)
+            s = Surroundings(b, b.sent.flags(X.answers_of(right)), b.sent.flags(X.answers_of(right, X.HOT)), window, block, slots)
             for slot, at in s.parts:
                 k = s.sample[at]
                 low, high = b.starts[s.begin[k]], b.ends[s.begin[k] + s.size[k] + window - 2]
@@ -194,7 +219,7 @@ def _finish(window: int, block: int, slots: int):
         docs, n = b.docs, len(b.words)
         edge = np.zeros(n + 1, np.int64)
         if right.num_rows:
-            s = Surroundings(b, b.sent.flags(X.answers_of(right)), window, block, slots)
+            s = Surroundings(b, b.sent.flags(X.answers_of(right)), b.sent.flags(X.answers_of(right, X.HOT)), window, block, slots)
             sizes, answers = s.windows(), X.answers_of(right, 1)
             base = np.cumsum(sizes) - sizes
             earliest = np.zeros(int(sizes.sum()), bool)
@@ -229,7 +254,7 @@ def _finish(window: int, block: int, slots: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = X.CHUNK_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = X.CHUNK_BYTES, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
     """Remove every word of a ``window``-word passage that starts earlier in the corpus.
 
     Earlier: in a document with a smaller id, or before in the same document.
@@ -242,7 +267,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     texts = X.select_texts(docs, id_col, text_col)
     n = X.parts_of(texts, chunk_bytes)
     packed = X.chunked(texts, n)
-    anchors = packed.applyInArrow(_send(block, n), K.PACKED).groupBy("slot").applyInArrow(_anchors, K.PACKED)
+    anchors = packed.applyInArrow(_send(block, n), K.PACKED).groupBy("slot").applyInArrow(_anchors(hot_chunks), K.PACKED)
     surroundings = packed.cogroup(anchors.groupBy("slot")).applyInArrow(_surround(window, block, n), K.PACKED)
     firsts = surroundings.groupBy("slot").applyInArrow(_extend(window, block), K.PACKED)
     answers = anchors.unionByName(firsts).groupBy("slot")

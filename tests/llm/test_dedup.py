@@ -161,14 +161,14 @@ def hot_corpus():
     return rows + [(900, " ".join(word() for _ in range(60_000)) + " " + passage, "", 0), (901, "x" * 300_000, "", 0)]
 
 
-@pytest.mark.parametrize("chunk_bytes", [4000, 1 << 20])
-def test_hot_keys(spark, chunk_bytes):
+@pytest.mark.parametrize(("chunk_bytes", "hot"), [(4000, 256), (4000, 2), (1 << 20, 2), (4000, 9)])
+def test_hot_keys(spark, chunk_bytes, hot):
     """Results don't hang on the number of chunks, and a hot key costs a slot one entry a chunk."""
     rows = hot_corpus()
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = dedup_substrings(docs, 20, chunk_bytes=chunk_bytes).collect()
+    got = dedup_substrings(docs, 20, chunk_bytes=chunk_bytes, hot_chunks=hot).collect()
     assert order((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in got) == order(words_expected(rows, 20))
-    got = dedup_suffixes(docs, 50, chunk_bytes=chunk_bytes).collect()
+    got = dedup_suffixes(docs, 50, chunk_bytes=chunk_bytes, hot_chunks=hot).collect()
     assert order((x.doc_id, x.n_bytes, x.n_removed, len(x.spans) // 2, bytes(x.kept)) for x in got) == order(bytes_expected(rows, 50))
     got = dedup_lines(docs, max_broadcast=chunk_bytes, chunk_bytes=chunk_bytes).collect()
     assert order((x.doc_id, x.n_lines, x.n_dropped, x.kept_text) for x in got) == order(lines_expected(rows))
