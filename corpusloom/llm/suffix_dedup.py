@@ -5,7 +5,9 @@ The suffix array is sharded so that every repeated string meets in one shard: ea
 hashes), which equal strings share wherever they stand.  First only the minimisers'
 hashes travel; where one is found in a single document its strings can't repeat, and
 their text is never sent.  The strings around the others go to their minimiser's
-shard, equal ones of a chunk once, with their smallest document.
+shard, equal ones of a chunk once, with their smallest document.  A minimiser that stands
+in ``HOT_CHUNKS`` chunks files its windows together with the next least gram of each, so
+that a common phrase with many surroundings is spread over shards.
 
 A shard sorts the suffixes of its distinct strings, computes the common prefixes of
 neighbours and scans them with a stack.  Each interval of the tree whose members
@@ -35,6 +37,8 @@ from corpusloom.llm import exchange as X
 from corpusloom.llm import kernels as K
 
 GRAM = 16
+#: A minimiser of so many chunks is filed together with a second gram.
+HOT_CHUNKS = 256
 RESULT = "doc_id long, kept binary, n_bytes long, n_removed long, spans array<int>"
 _RESULT = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.int32()))])
 
@@ -50,17 +54,22 @@ class Minimisers:
             n = len(docs.data)
             if n >= window:
                 grams = docs.rolling().every(GRAM)
-                short = (grams >> np.uint64(32)).astype(np.uint32)
+                short = self.short(grams)
                 least = self.least(docs, short, window)
                 padded = np.zeros(len(least) + 2 * (span - 1), np.uint32)
                 padded[span - 1 : span - 1 + len(least)] = least
-                chosen = np.flatnonzero((K.sliding(padded, span, np.maximum) == short) & (short > 0))
+                chosen = np.flatnonzero(K.sliding(padded, span, np.maximum) == short)
                 places.append(chosen + at)
                 hashes.append(grams[chosen])
             at += n
         self.at, self.hashes = np.concatenate(places), np.concatenate(hashes)
         self.sent = X.Sent(self.hashes, slots)
 
+    @staticmethod
+    def short(grams: np.ndarray) -> np.ndarray:
+        """32 bits of each gram's hash; never zero, which stands for no window."""
+        return np.maximum((grams >> np.uint64(32)).astype(np.uint32), np.uint32(1))
+
     @staticmethod
     def least(docs: K.Docs, short: np.ndarray, window: int) -> np.ndarray:
         """The least gram hash of each window; 0 where it leaves its document."""
@@ -76,18 +85,18 @@ class Minimisers:
 class Strings:
     """The strings around the minimisers that hit; equal ones have one number."""
 
-    def __init__(self, m: Minimisers, hits: np.ndarray, window: int, slots: int):
+    def __init__(self, m: Minimisers, hits: np.ndarray, hot: np.ndarray, window: int, slots: int):
         span = window - GRAM + 1
         own = hits[m.sent.place] if len(m.at) else np.zeros(0, bool)
-        at, hashes = m.at[own], m.hashes[own]
-        begins, ends, keep, whole, base, done = [], [], [], [], 0, 0
+        at, hashes, hot = m.at[own], m.hashes[own], hot[m.sent.place][own] if len(m.at) else own
+        begins, ends, filed, whole, base, done = [], [], [np.zeros(0, np.uint64)], [], 0, 0
         for docs in K.pieces(m.docs):
             n = len(docs.data)
             part = slice(done, int(np.searchsorted(at, base + n)))
             done = part.stop
             if part.stop > part.start:
                 rolling = docs.rolling()
-                short = (rolling.every(GRAM) >> np.uint64(32)).astype(np.uint32)
+                short = Minimisers.short(rolling.every(GRAM))
                 least = Minimisers.least(docs, short, window)
                 here = at[part] - base
                 begin, end = np.full(len(here), -1), np.zeros(len(here), np.int64)
@@ -98,14 +107,18 @@ class Strings:
                     begin = np.where(real & (begin < 0), start, begin)
                     end = np.where(real, start + window, end)
                 real = begin >= 0
-                begins.append(begin[real] + base)
-                ends.append(end[real] + base)
-                keep.append(real)
-                whole.append(rolling.runs(begin[real], end[real]))
+                begin, end, here, hash_, split = begin[real], end[real], here[real], hashes[part][real], hot[part][real]
+                if split.any():
+                    cut = self.cut(begin[split], end[split], here[split], hash_[split], short, window)
+                    begin, end, hash_ = (np.concatenate([x[~split], y]) for x, y in zip((begin, end, hash_), cut, strict=True))
+                begins.append(begin + base)
+                ends.append(end + base)
+                filed.append(hash_)
+                whole.append(rolling.runs(begin, end))
             base += n
         none = np.zeros(0, np.int64)
         self.begin, self.end = np.concatenate([none, *begins]), np.concatenate([none, *ends])
-        self.hash = hashes[np.concatenate([np.zeros(0, bool), *keep])]
+        self.hash = np.concatenate(filed)
         self.ids = m.docs.ids[m.doc_of(self.begin)]
         whole = np.concatenate([np.zeros(0, np.uint64), *whole])
         order = np.lexsort((self.ids, whole))
@@ -116,6 +129,22 @@ class Strings:
         self.sample = order[new]  # of each number, its place in the smallest document
         self.parts = list(K.dealt((self.hash[self.sample] % np.uint64(slots)).astype(np.int32)))
 
+    @staticmethod
+    def cut(begin: np.ndarray, end: np.ndarray, anchor: np.ndarray, hashes: np.ndarray, short: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+        """Strings cut into the runs of windows that share their second least gram, filed under both."""
+        sizes = end - begin - window + 1
+        start, of = K.spread(begin, sizes), np.repeat(np.arange(len(begin)), sizes)
+        most = np.iinfo(np.uint32).max
+        best, place = np.full(len(start), most, np.uint32), np.full(len(start), -1)
+        for d in range(window - GRAM + 1):
+            at = start + d
+            value = np.where(at == anchor[of], most, short[at])
+            better = value < best
+            best[better], place[better] = value[better], at[better]
+        new = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(place, prepend=-2) != 0))
+        last = np.append(new[1:], len(start)) - 1
+        return start[new], start[last] + window, K.mix(hashes[of[new]] ^ K.mix(best[new].astype(np.uint64)))
+
     def lengths(self) -> np.ndarray:
         return (self.end - self.begin)[self.sample]
 
@@ -133,11 +162,16 @@ def _send(window: int, slots: int):
     return run
 
 
-def _repeated(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Minimisers of several documents, or of one whose rows are in several chunks."""
-    got = X.Received(table)
-    _, place = np.unique(got.hashes, return_inverse=True)
-    return got.answer(key[0].as_py(), (np.bincount(place, 1 + got.flags[0]) > 1)[place])
+def _repeated(hot_chunks: int):
+    """Minimisers of several documents, or of one whose rows are in several chunks; and those of many chunks."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        got, slot = X.Received(table), key[0].as_py()
+        _, place = np.unique(got.hashes, return_inverse=True)
+        hits = (np.bincount(place, 1 + got.flags[0]) > 1)[place]
+        return pa.concat_tables([got.answer(slot, hits), got.answer(slot, hits & (np.bincount(place) >= hot_chunks)[place], X.HOT)])
+
+    return run
 
 
 def _send_strings(window: int, slots: int):
@@ -145,7 +179,7 @@ def _send_strings(window: int, slots: int):
         rows = []
         if right.num_rows:
             m = Minimisers(left, window, slots)
-            s = Strings(m, m.sent.flags(X.answers_of(right)), window, slots)
+            s = Strings(m, m.sent.flags(X.answers_of(right)), m.sent.flags(X.answers_of(right, X.HOT)), window, slots)
             for slot, at in s.parts:
                 k = s.sample[at]
                 text = m.docs.data[K.spread(s.begin[k], s.end[k] - s.begin[k])].tobytes()
@@ -298,7 +332,7 @@ def _finish(window: int, slots: int):
         if right.num_rows:
             m = Minimisers(left, window, slots)
             docs, times = m.docs, m.times
-            s = Strings(m, m.sent.flags(X.answers_of(right)), window, slots)
+            s = Strings(m, m.sent.flags(X.answers_of(right)), m.sent.flags(X.answers_of(right, X.HOT)), window, slots)
             sizes, answers = s.lengths(), X.answers_of(right, 1)
             base = np.cumsum(sizes) - sizes
             gone = np.zeros(int(sizes.sum()), bool)
@@ -340,7 +374,7 @@ def _finish(window: int, slots: int):
     return run
 
 
-def dedup_suffixes(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = X.CHUNK_BYTES) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = X.CHUNK_BYTES, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
     """Remove every byte of a ``window``-byte string that is also in a document with a smaller id.
 
     Returns per input row: doc_id, kept, n_bytes, n_removed, spans (removed byte
@@ -351,7 +385,7 @@ def dedup_suffixes(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     texts = X.select_texts(docs, id_col, text_col)
     n = X.parts_of(texts, chunk_bytes)
     packed = X.chunked(texts, n)
-    repeated = packed.applyInArrow(_send(window, n), K.PACKED).groupBy("slot").applyInArrow(_repeated, K.PACKED)
+    repeated = packed.applyInArrow(_send(window, n), K.PACKED).groupBy("slot").applyInArrow(_repeated(hot_chunks), K.PACKED)
     strings = packed.cogroup(repeated.groupBy("slot")).applyInArrow(_send_strings(window, n), K.PACKED)
     removals = strings.groupBy("slot").applyInArrow(_removals(window), K.PACKED)
     return packed.cogroup(repeated.unionByName(removals).groupBy("slot")).applyInArrow(_finish(window, n), RESULT)
