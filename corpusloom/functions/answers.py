@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.stems import stems
+
 # Patterns and words that decide what a claim, a citation or a key word is.
 ABBREVIATIONS = r"(?i)\b(et al|e\.g|i\.e|cf|vs|Fig|Figs|Eq|Eqs|Sec|Tab|approx|resp|etc)\."
 BOUNDARY = r"(?<=[.!?])\s+(?=[\"'(\[A-Z0-9*-])"
@@ -175,9 +177,10 @@ def paragraph_f1(found: Column, gold: Column) -> Column:
     return F.when((F.size(found) == 0) & (F.size(gold) == 0), F.lit(1.0)).when(same == 0, F.lit(0.0)).otherwise(2 * same / (F.size(found) + F.size(gold)))
 
 
-def rouge_tokens(c: Column) -> Column:
-    """Lower-case runs of a-z and 0-9 (no stemming)."""
-    return _all(F.lower(c), "[a-z0-9]+")
+def rouge_tokens(c: Column, stemmed: bool = False) -> Column:
+    """Lower-case runs of a-z and 0-9, by their stems if wanted."""
+    found = _all(F.lower(c), "[a-z0-9]+")
+    return stems(found) if stemmed else found
 
 
 def ngrams(tokens: Column, n: int) -> Column:

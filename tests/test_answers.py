@@ -126,3 +126,14 @@ def test_papers(spark):
     assert tuple(told("")) == tuple(told(None)) == (None, [], [])
     short = "Two Words\n\nA Longer Heading That Counts\n\nfoo@bar.org"
     assert told(short).title == "A Longer Heading That Counts" and told("Word One\nhttp://x.y").title is None
+
+
+def test_stems(spark):
+    """The examples of the publication."""
+    from corpusloom.functions.stems import measure, stem, stems
+
+    assert [measure(w) for w in ("tree", "by", "trouble", "oats", "ivy", "troubles", "private", "oaten")] == [0, 0, 1, 1, 1, 2, 2, 2]
+    told = "caresses caress ponies poni caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit radicalli radic vietnamization vietnam operator oper feudalism feudal decisiveness decis hopefulness hope formaliti formal sensitiviti sensit triplicate triplic formative form electriciti electr goodness good revival reviv allowance allow inference infer airliner airlin adjustable adjust irritant irrit replacement replac adoption adopt homologou homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll".split()
+    assert [stem(w) for w in told[::2]] == told[1::2]
+    assert one(spark, stems(F.array(F.lit("cats"), F.lit("was"), F.lit("running")))) == ["cat", "was", "run"]
+
