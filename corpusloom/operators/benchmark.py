@@ -7,9 +7,9 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.answers import paragraph_f1
-from corpusloom.functions.text import squad_normal
-from corpusloom.operators.evaluation import multiset_f1
+from corpusloom.functions.answers import citation_scores, completeness, has_citation, paragraph_f1
+from corpusloom.functions.text import set_f1, squad_normal
+from corpusloom.operators.evaluation import multiset_f1, ranking_metrics
 
 SEED = 20260827
 SAMPLES = "query_id long, query string, reference_answer string, relevant_ids array<string>, source_papers array<string>"
@@ -77,6 +77,23 @@ def answer_means(scored: DataFrame) -> DataFrame:
     return out.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in means if c in scored.columns], F.bool_and("has_citations").alias("has_citations"), F.floor(F.sum(F.length("answer")) / F.count("*")).alias("answer_length"))
 
 
+def evaluate(samples: DataFrame, hits: DataFrame, answers: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One row of retrieval means over samples that have relevant ids and results, and one of answer means over those with an answer.
+
+    samples: query_id, query, reference_answer, relevant_ids, source_papers; hits: query_id,
+    chunk_id, rank; answers: query_id, answer.
+    """
+    relevant = samples.select("query_id", F.explode("relevant_ids").alias("chunk_id"))
+    out = {"retrieval": retrieval_means(ranking_metrics(hits.withColumn("chunk_id", F.col("chunk_id").cast("string")), relevant), hits)}
+    if answers is not None:
+        words = lambda c: F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda w: w != "")
+        told = answers.filter(F.length("answer") > 0).join(samples, "query_id")
+        cited = citation_scores(F.col("answer"), F.col("source_papers"))
+        scored = told.select("answer", set_f1(words(F.col("answer")), words(F.col("reference_answer"))).alias("token_overlap"), completeness(F.col("answer"), F.col("query")).alias("completeness"), cited["precision"].alias("citation_precision"), cited["recall"].alias("citation_recall"), cited["f1"].alias("citation_f1"), has_citation(F.col("answer")).alias("has_citations"))
+        out["answers"] = answer_means(scored)
+    return out
+
+
 def gold_answers(annotations: DataFrame) -> DataFrame:
     """question_id, place, answer, evidence (without figures) and type of each annotation.
 

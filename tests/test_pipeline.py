@@ -151,6 +151,16 @@ def test_samples_and_summaries(spark):
     assert {(r.key, r["mean"], r.median) for r in lat} == {("k", 5.5, 9.0), ("l", 4.0, 4.0)}
 
 
+def test_evaluate(spark):
+    samples = M.custom_samples(spark, [{"query": "how long are walks", "answer": "walks are short", "evidence": ["a"], "source_papers": ["Lovelace on walks"]}, {"query": "who", "evidence": ["b"]}, {"query": "none"}])
+    hits = spark.createDataFrame([(0, "x", 1), (0, "a", 2)], "query_id long, chunk_id string, rank int")
+    answers = spark.createDataFrame([(0, "Walks are long (Lovelace, 2020)"), (1, "")], "query_id long, answer string")
+    got = {k: v.first() for k, v in M.evaluate(samples, hits, answers).items()}
+    assert (got["retrieval"].n_answered, got["retrieval"].n, got["retrieval"].rr_answered, got["retrieval"].rr_all) == (1, 2, 0.5, 0.25)
+    a = got["answers"]
+    assert (a.n, a.citation_f1, a.has_citations, a.answer_length) == (1, 1.0, True, 31) and a.completeness == 1.0 and a.token_overlap == pytest.approx(2 * 2 / 8)
+
+
 def test_responses(spark):
     told = spark.createDataFrame([("a", "Graph Walks", ["Ada Lovelace", "Alan Turing", "Emmy Noether"], 2020, "ACL", "results", "Walks are short. They end."), ("b", "Unknown Document", [], None, None, "unknown", "No title here.")], "chunk_id string, paper_title string, authors array<string>, year int, venue string, section_type string, text string")
     q = spark.createDataFrame([(1, "How long are walks?"), (2, "Who?")], "query_id int, text string")
