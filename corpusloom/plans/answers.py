@@ -162,3 +162,5 @@ ORACLES["evidence_coverage"] = f"""WITH t AS (SELECT conv_id, turn, {_RT.format(
 m AS (SELECT e.conv_id, e.turn, e.p, e.p - c.p AS diag FROM e JOIN c ON e.conv_id = c.conv_id AND e.turn = c.turn AND e.w = c.w),
 i AS (SELECT conv_id, turn, count(*) AS run FROM (SELECT *, p - row_number() OVER (PARTITION BY conv_id, turn, diag ORDER BY p) AS island FROM m) GROUP BY conv_id, turn, diag, island), r AS (SELECT conv_id, turn, max(run) AS run FROM i GROUP BY ALL)
 SELECT conv_id, turn, CASE WHEN len(g) > 0 THEN coalesce(run, 0) / len(g) ELSE 0.0 END AS of_evidence, CASE WHEN len(a) > 0 THEN coalesce(run, 0) / len(a) ELSE 0.0 END AS of_chunk FROM t LEFT JOIN r USING (conv_id, turn)"""
+ORACLES["unsupported_citations"] = f"""WITH s AS (SELECT item_id, len(a) >= 2 AND y IS NOT NULL AS turing, len(a) >= 1 AND coalesce(y = 2001, false) AS lovelace, y FROM ({_PAPER}))
+SELECT item_id, CASE WHEN turing THEN 'According to Turing (' || y || '), machines' ELSE 'Machines' END || ' think' || CASE WHEN lovelace THEN ' (Lovelace et al., 2001)' ELSE '' END || '. It holds (a fact), as say.' AS answer, (1 + CASE WHEN turing THEN 0 ELSE 1 END + CASE WHEN lovelace THEN 0 ELSE 1 END)::INT AS removed FROM s"""

@@ -79,3 +79,5 @@ len(regexp_extract_all(regexp_extract(md, '{P.REFERENCES}', 1), '(?m)^\[\d+\]'))
 SELECT doc_id, coalesce(arg_min(kind, place) FILTER (kind != 'other'), 'other') AS section FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id""",
     "paper_structure": f"""SELECT doc_id, trim(regexp_replace(trim('A Study of ' || {_ABOUT}, ' '), '[*_]+$', ''), ' ') AS title, CASE WHEN doc_id % 4 > 1 OR doc_id % 4 = 1 AND doc_id % 2 = 1 THEN array_to_string({_NAMES}, '|') ELSE '' END AS authors, 4::INT AS n_sections, 'other|abstract|methodology|references' AS kinds FROM documents""",
 }
+ORACLES["paper_confidence"] = f"""SELECT doc_id, round(least(1, CASE WHEN abstract IS NOT NULL THEN 0.3 ELSE 0 END + 0.2 + 0.1 + CASE WHEN doc_id % 4 > 0 THEN 0.1 ELSE 0 END + CASE WHEN n_citations > 10 THEN 0.1 ELSE 0 END + CASE WHEN year IS NOT NULL AND venue IS NOT NULL THEN 0.05 ELSE 0 END), 2)::DOUBLE AS confidence,
+CASE WHEN arxiv_id IS NOT NULL THEN 'arxiv' WHEN regexp_matches(lower(venue), 'neurips|icml|cvpr|acl|aaai') THEN 'conference' WHEN regexp_matches(lower(venue), 'ieee|acm|nature|science') THEN 'journal' ELSE 'unknown' END AS paper_type FROM ({ORACLES['paper_facts']})"""
