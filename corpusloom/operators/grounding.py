@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,14 +72,14 @@ def ground(evidence: DataFrame, chunks: DataFrame, by: list[str]) -> DataFrame:
     return held.unionByName(covered).unionByName(best)
 
 
-def evidence_paragraphs(paragraphs: DataFrame, hits: DataFrame, score: Column, k: int = 2, top: int = 3, least: int = 20) -> DataFrame:
+def evidence_paragraphs(paragraphs: DataFrame, hits: DataFrame, score: Column, k: int = 2, top: int = 3, least: int = 20, normal: Callable[[Column], Column] = evidence_normal) -> DataFrame:
     """Each question's paragraphs that stand in its ``top`` best chunks, the best ``k`` by ``score``.
 
     paragraphs: query_id, place, text, and what ``score`` names; hits: query_id, rank, text.
+    Texts are measured and compared in the form that ``normal`` gives them.
     """
-    normal = evidence_normal(F.col("text"))
-    asked = paragraphs.withColumn("normal", normal).filter(F.length("normal") > least)
-    near = hits.filter(F.col("rank") <= top).select("query_id", normal.alias("chunk"))
+    asked = paragraphs.withColumn("normal", normal(F.col("text"))).filter(F.length("normal") > least)
+    near = hits.filter(F.col("rank") <= top).select("query_id", normal(F.col("text")).alias("chunk"))
     found = asked.join(near, "query_id").filter(F.col("chunk").contains(F.col("normal"))).drop("chunk", "normal").dropDuplicates(["query_id", "place"])
     return top_k(found.withColumn("score", score), k, F.desc("score"), F.asc("place")).select("query_id", "place", "text", "score", "rank")
 
