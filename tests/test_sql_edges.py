@@ -1,5 +1,7 @@
 """Registered queries against their SQL on small tables with what the generated tables seldom hold."""
 
+import datetime as dt
+
 import duckdb
 from test_queries import rows
 
@@ -23,3 +25,13 @@ def test_evidence_paragraphs_lengths(spark, tmp_path):
     docs = spark.createDataFrame([*enumerate(lines), (20, "Straßenecke am Marktplatz\nstrassenecke am marktplatz"), (21, None), (22, "")], "doc_id long, text string")
     got, expected = both(spark, tmp_path, "evidence_paragraphs", documents=docs)
     assert got == expected and len(got) == 9
+
+
+def test_rate_limited_fractions(spark, tmp_path):
+    """Windows that end within the second in which a request comes."""
+    base = dt.datetime(2024, 1, 1, 0, 0, 10)
+    after = [[0.4, 86410.3, 86410.6, 86411], [0.6, 86400.5, 86400.7, 86401.4], [0.5, 1, 86400.4, 86400.5, 86401.5], [1.5, 2, 86401.4, 86401.5, 86402.5]]
+    events = [(u, base + dt.timedelta(seconds=s)) for u, times in enumerate(after) for s in times] + [(None, base), (9, None)]
+    table = spark.createDataFrame(events, "user_id long, ts timestamp_ntz")
+    got, expected = both(spark, tmp_path, "rate_limited", events=table)
+    assert got == expected
