@@ -37,6 +37,8 @@ _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 SMALL_GROUP = 256
 #: Fingerprint variants of one slot, about.
 SLOT_ENTRIES = 1 << 19
+#: Hashes whose bits are laid open at once, about.
+HASHES_AT_ONCE = 1 << 17
 
 
 def fingerprint_texts(docs: K.Docs, shingle: int) -> np.ndarray:
@@ -56,13 +58,25 @@ def fingerprint_texts(docs: K.Docs, shingle: int) -> np.ndarray:
         starts = np.concatenate([[0], ends[:-1] + 1])
         hashes += [hash64(line[a:b], SEED) for a, b in zip(starts[: 1 - shingle or None].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
         counts[k] = len(words) - shingle + 1
-    out = np.zeros(len(docs), np.uint64)
+    return majorities(np.array(hashes, np.uint64), counts)
+
+
+def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """SimHash of documents whose hashes stand one document after the other: bits set in over half of them; zero without hashes."""
+    out = np.zeros(len(counts), np.uint64)
     full = np.flatnonzero(counts)
-    if len(full):
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        begins = np.cumsum(counts[full]) - counts[full]
-        ones = np.stack([bits[b : b + n].sum(axis=0, dtype=np.int64) for b, n in zip(begins, counts[full], strict=True)])
-        out[full] = np.packbits(2 * ones > counts[full][:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
+    ends = np.cumsum(counts[full])
+    first = 0
+    while first < len(full):
+        # As many documents as have about so many hashes, at least one.
+        begin = ends[first] - counts[full[first]]
+        last = max(first + 1, int(np.searchsorted(ends, begin + HASHES_AT_ONCE, "right")))
+        bits = np.unpackbits(hashes[begin : ends[last - 1]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        own = counts[full[first:last]]
+        begins = np.cumsum(own) - own
+        ones = np.stack([bits[b : b + n].sum(axis=0, dtype=np.int64) for b, n in zip(begins, own, strict=True)])
+        out[full[first:last]] = np.packbits(2 * ones > own[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
+        first = last
     return out
 
 
@@ -158,6 +172,13 @@ def _links(distance: int):
     return run
 
 
+def fingerprint_links(prints: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b), a spanning forest of each group of equal variants, between the owners of
+    distinct fingerprints (bits, owner) that differ in at most ``distance`` bits."""
+    n = max(2, -(-prints.count() * len(_variants(distance)) // SLOT_ENTRIES))
+    return prints.mapInArrow(_signatures(distance, n), K.PACKED).groupBy("slot").applyInArrow(_links(distance), "a long, b long")
+
+
 def simhash_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints and near-duplicate components of documents.
 
@@ -169,9 +190,7 @@ def simhash_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_
     texts = X.select_texts(docs, id_col, text_col)
     prints = materialise(texts.mapInArrow(_fingerprints(shingle), "doc_id long, bits long"), "prints")
     owners = materialise(prints.groupBy("bits").agg(F.min("doc_id").alias("owner")), "owners")
-    n = max(2, -(-owners.count() * len(_variants(distance)) // SLOT_ENTRIES))
-    links = owners.mapInArrow(_signatures(distance, n), K.PACKED).groupBy("slot").applyInArrow(_links(distance), "a long, b long")
-    roots = connected_components(links)
+    roots = connected_components(fingerprint_links(owners, distance))
     classes = owners.join(roots, owners["owner"] == roots["node"], "left").select("bits", F.coalesce("root", "owner").alias("component"))
     real = lambda c: F.when(F.col(c) != F.lit(int(K.NULL_ID)), F.col(c))
     return prints.join(classes, "bits").select(real("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), real("component").alias("component_id"))

@@ -97,3 +97,47 @@ def test_sides_agree():
                 if 9 * len(a & b) >= 4 * (len(a) + len(b)):
                     label[k] = label[j] = min(label[k], label[j])
     assert got == label
+
+
+def test_fingerprints_of_sets():
+    """Bits set in over half of a set's hashes, however many hashes are laid open at once."""
+    import numpy as np
+
+    from corpusloom.llm import simhash as S
+
+    r = np.random.default_rng(3)
+    counts = np.array([0, 1, 2, 5, 0, 700, 3])
+    hashes = r.integers(0, 1 << 63, counts.sum(), np.uint64) * np.uint64(2) + np.uint64(1)
+    parts = np.split(hashes, np.cumsum(counts)[:-1])
+    expected = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in part) > len(part)) for part in parts]
+    before = S.HASHES_AT_ONCE
+    try:
+        for S.HASHES_AT_ONCE in (1, 6, before):
+            assert S.majorities(hashes, counts).tolist() == expected
+    finally:
+        S.HASHES_AT_ONCE = before
+
+
+def test_fingerprints_find_copies(spark, monkeypatch):
+    """SimHash alone links texts that differ in little; with or without its reach, and with false candidates, the groups are those of Jaccard."""
+    rows = corpus()
+    label = groups(rows)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+    def classes(**options):
+        found = {}
+        for x in N.near_copies(docs, **options).collect():
+            found.setdefault(x.component, set()).add(x.doc_id)
+        return sorted(map(sorted, found.values()))
+
+    whole = classes()
+    expected = {}
+    for (i, *_), g in zip(rows, label):
+        expected.setdefault(g, []).append(i)
+    assert whole == sorted(map(sorted, expected.values()))
+    assert classes(distance=0) == whole == classes(distance=40)
+    monkeypatch.setattr(N, "_probes", lambda slots: lambda batches: iter(()))
+    alone = classes(distance=10)
+    pairs = lambda found: {(a, b) for c in found for a in c for b in c if a < b}
+    copies = pairs(classes(distance=0))
+    assert copies < pairs(alone) <= pairs(whole) and 2 * len(pairs(alone) - copies) > len(pairs(whole) - copies)
