@@ -1,11 +1,13 @@
 """Registered queries against their SQL on small tables with what the generated tables seldom hold."""
 
 import datetime as dt
+import random
 
 import duckdb
 from test_queries import rows
 
 import __spark_entry__ as entry
+from corpusloom.operators import retrieval as R
 
 
 def both(spark, folder, name, **tables):
@@ -35,3 +37,19 @@ def test_rate_limited_fractions(spark, tmp_path):
     table = spark.createDataFrame(events, "user_id long, ts timestamp_ntz")
     got, expected = both(spark, tmp_path, "rate_limited", events=table)
     assert got == expected
+
+
+def test_scores_of_equal_bags(spark):
+    """Chunks of the same words in another order tie exactly, so fusion keeps them in the order of their ids."""
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(30) for _ in range(1 + k % 4)]
+    bags = [(k, " ".join(r.sample(words, len(words)))) for k in range(40)] + [(k, " ".join(f"x{r.randrange(60)}" for _ in range(50))) for k in range(40, 140)]
+    chunks = spark.createDataFrame(bags, "chunk_id long, text string").repartition(4)
+    asked = spark.createDataFrame([(0, " ".join(words))], "query_id long, text string")
+    scores = {x.chunk_id: x.score for x in R.bm25_scores(asked, chunks, R.bm25_index(chunks)).collect()}
+    assert len({scores[k] for k in range(40)}) == 1 and scores[0] > 0
+    lexical = R.bm25(asked, chunks, 40)
+    none = lexical.limit(0)
+    fused = R.fuse(none, lexical, 40).orderBy("rank").collect()
+    own = [x.chunk_id for x in fused if x.chunk_id < 40]
+    assert own == sorted(own) and len(own) > 1
